@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_compression
+from . import language_id, piece_encoding, quality_compression
 
 
 def queries() -> dict:
     return {
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
+        "op9_sentencepiece": piece_encoding.query,
     }
 
 
