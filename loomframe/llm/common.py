@@ -121,3 +121,16 @@ def per_document(df: DataFrame, work, schema: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], names=names)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, target)
+
+
+def ranges(texts: list, chars: int = 2_000_000):
+    """Slices of ``texts`` with about ``chars`` characters each, at least one text, so that work arrays stay small."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and size + n > chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, piece_encoding, quality_compression
+from . import language_id, piece_encoding, quality_compression, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
         "op9_sentencepiece": piece_encoding.query,
