@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, piece_encoding, quality_compression, toxicity
+from . import class_lm, language_id, piece_encoding, quality_compression, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
         "op9_sentencepiece": piece_encoding.query,
+        "op10_lm_scoring": class_lm.query,
     }
 
 
