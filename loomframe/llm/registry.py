@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import class_lm, language_id, piece_encoding, quality_compression, toxicity
+from . import class_lm, language_id, piece_encoding, quality_compression, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
