@@ -26,7 +26,7 @@ FORMS = 24
 #: Words a task counts before it hands them on.
 COUNTED = 1_000_000
 #: The common words' table: this many words and their counts at most are broadcast.
-COMMON = 1 << 18
+COMMON = 1 << 17
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -193,7 +193,8 @@ def fit(train: DataFrame, text_col: str = "text", units: int = 1000, n_classes:
     counts = written(word_counts(train, text_col), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(common).collect()
+    least = _least_common(counts, common)
+    top = sorted(counts.where((F.col("word") != END) & (F.col("n") >= least)).collect(), key=lambda r: (-r["n"], r["word"]))
     end = counts.where(F.col("word") == END).select("n").first()
     known = {END.encode(): int(end[0]) if end else 0} | {r["word"].encode(): r["n"] for r in top}
     free = [END.encode(), *(r["word"].encode() for r in top[: units - 1])]
@@ -222,6 +223,20 @@ def fit(train: DataFrame, text_col: str = "text", units: int = 1000, n_classes:
     return ClassModel(unit_of, classes, np.log10(step), room, total, distinct, delta, known, counts)
 
 
+def _least_common(counts: DataFrame, common: int) -> int:
+    """The least count that at most ``common`` words reach, to the nearest twentieth of a factor: found from the number
+    of words in each such band, so only the words above it come to the driver."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.05)).cast("int")
+    bands = sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"])
+    total, least = 0, None
+    for r in bands:
+        total += r["count"]
+        if total > common:
+            break
+        least = r["b"]
+    return math.ceil(1.05**least - 1e-6) if least is not None else 1 << 62
+
+
 def _form_sums(counts: DataFrame, unit_of: dict) -> list:
     """Words and their sum for each form, of the words that aren't clustered."""
     import pyarrow as pa
