@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontamination, language_id, piece_encoding, quality_compression, quality_rules, toxicity
+from . import class_lm, decontamination, language_id, personal_data, piece_encoding, quality_compression, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
+        "op7_personal_data": personal_data.query,
         "op8_decontamination": decontamination.query,
         "op9_sentencepiece": piece_encoding.query,
         "op10_lm_scoring": class_lm.query,
