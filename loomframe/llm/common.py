@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +135,56 @@ def ranges(texts: list, chars: int = 2_000_000):
         size += n
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered up to a number."""
+
+    def __init__(self):
+        import xxhash
+
+        self.digest, self.seen = xxhash.xxh64_intdigest, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint64)
+        seen, out = self.seen, []
+        if len(seen) > 1_000_000:
+            seen.clear()
+        for w in text.encode("utf-8", "replace").lower().split():
+            h = seen.get(w)
+            if h is None:
+                h = seen[w] = self.digest(w)
+            out.append(h)
+        return np.array(out, np.uint64)
+
+
+def bitmap_of(hashes: DataFrame, bits: int, strips: int = 16) -> bytes:
+    """A compressed bitmap with the low ``bits`` bits of each number in the one column set; filled strip by strip on the executors."""
+    import pyarrow as pa
+
+    size = (1 << bits) // strips
+
+    def fill(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)
+            at = low.astype(np.int64)
+            for s in np.unique(at // size):
+                own.setdefault(int(s), np.zeros(size, bool))[at[at // size == s] - s * size] = True
+        for s, marks in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)], pa.binary())], names=["strip", "part"])
+
+    strip = F.shiftrightunsigned(F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)), bits - 4)
+    rows = hashes.repartition(strips, strip).mapInArrow(fill, "strip int, part binary").collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(zlib.decompress(bytes(r["part"])), np.uint8)
+        out[r["strip"] * size // 8 : r["strip"] * size // 8 + len(part)] |= part
+    return zlib.compress(out.tobytes(), 1)
+
+
+def marked(numbers: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the unsigned numbers have their bit in an unpacked ``bitmap_of``."""
+    at = (numbers & np.uint64(len(marks) * 8 - 1)).astype(np.int64)
+    return ((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

@@ -16,13 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, table, written
+from .common import WordHashes, bitmap_of, marked, ranges, table, written
 
 #: Seeds of weight 7 and 8. With any one word in eight substituted, every passage of 14 words keeps a hit.
 MASKS = ("11101011011", "110110101011", "11011100111")
 #: The bitmap has at least and at most so many bits (2 ** n), and in between 64 for each hash.
 BITS = (20, 27)
-REMEMBERED = 1_000_000
 
 _MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(64)]
 
@@ -34,28 +33,6 @@ def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
     return spaced + [tuple(range(n)) for n in sorted(lengths) if 0 < n < longest]
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a number."""
-
-    def __init__(self):
-        import xxhash
-
-        self.digest, self.seen = xxhash.xxh64_intdigest, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint64)
-        seen, out = self.seen, []
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for w in text.encode("utf-8", "replace").lower().split():
-            h = seen.get(w)
-            if h is None:
-                h = seen[w] = self.digest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     """The hash of the mask at each place where it fits."""
     n = len(words) - mask[-1]
@@ -122,10 +99,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     seeds = written(known.select("item", "item_words").mapInArrow(seed_items, "h bigint, item bigint, item_pos int"), "seeds")
     bits = max(BITS[0], min(BITS[1], int(seeds.count() * 64).bit_length()))
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds, bits))  # 2 ** BITS[1] bits at most
+    bitmap = spark.sparkContext.broadcast(bitmap_of(seeds.select("h"), bits))  # 2 ** BITS[1] bits at most
 
     def scan(batches):
-        words_of, marks, low = WordHashes(), np.frombuffer(zlib.decompress(bitmap.value), np.uint8), np.uint64((1 << bits) - 1)
+        words_of, marks = WordHashes(), np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
         hit_type = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
@@ -137,8 +114,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 found: dict[int, list] = {}
                 for m, mask in enumerate(masks):
                     h = seed_hashes(joined, mask, m)
-                    b = (h & low).astype(np.int64)
-                    for p in np.flatnonzero((marks[b >> 3] >> (b & 7).astype(np.uint8)) & 1):
+                    for p in np.flatnonzero(marked(h, marks)):
                         d = int(np.searchsorted(starts, p, "right")) - 1
                         if p + mask[-1] < starts[d + 1]:  # inside one document
                             found.setdefault(d, []).append({"h": int(h[p].view(np.int64)), "pos": int(p - starts[d])})
@@ -171,31 +147,6 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "m.n_overlap", "m.n_matched", (-F.col("m.back")).alias("first_word"))
 
 
-def _bitmap(seeds: DataFrame, bits: int, strips: int = 16) -> bytes:
-    """The bits of all hashes, set strip by strip on the executors; compressed."""
-    import pyarrow as pa
-
-    size = (1 << bits) // strips
-
-    def fill(batches):
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << bits) - 1)
-            at = low.astype(np.int64)
-            for s in np.unique(at // size):
-                own.setdefault(int(s), np.zeros(size, bool))[at[at // size == s] - s * size] = True
-        for s, marks in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)], pa.binary())], names=["strip", "part"])
-
-    strip = F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), bits - 4)
-    rows = seeds.select("h").repartition(strips, strip).mapInArrow(fill, "strip int, part binary").collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        part = np.frombuffer(zlib.decompress(bytes(r["part"])), np.uint8)
-        out[r["strip"] * size // 8 : r["strip"] * size // 8 + len(part)] |= part
-    return zlib.compress(out.tobytes(), 1)
-
-
 def best_overlap(words: np.ndarray, item: np.ndarray, diagonals, identity: float) -> tuple[int, int, int]:
     """(words, equal words, first word in the document) of the best stretch: each match counts 1 - identity, each
     mismatch -identity, and the stretch of the largest sum is taken; the longest, then the first, of all diagonals."""

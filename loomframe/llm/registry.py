@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontamination, language_id, personal_data, piece_encoding, quality_compression, quality_rules, toxicity
+from . import class_lm, decontamination, language_id, near_duplicates, personal_data, piece_encoding, quality_compression, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
+        "op4_ngram_jaccard": near_duplicates.query,
         "op5_language_id": language_id.query,
         "op6_quality_classifier": quality_compression.query,
         "op7_personal_data": personal_data.query,
