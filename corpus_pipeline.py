@@ -1,8 +1,64 @@
-"""A corpus cleaned and encoded, stage by stage."""
+"""A corpus cleaned and encoded, stage by stage: each stage is written as Parquet and the next one reads that."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.llm import decontamination, near_duplicates, personal_data, piece_encoding, quality_rules
+from loomframe.llm.common import table, written
+
+#: The stages learn and match, which SQL can't express; the tests hold them against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
+    stats = written(quality_rules.statistics(docs), "statistics")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
+    # the statistics of a text decide, so they are worked out again here instead of being joined by an id
+    verdict = quality_rules.judge(quality_rules.statistics(docs.select(F.struct(*docs.columns).alias("doc"), "text"), id_col="doc"), rules)
+    return verdict.where("kept").select("doc.*")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the least id."""
+    return near_duplicates.deduplicate(docs).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
+    masked = personal_data.mask(docs, personal_data.fit(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else masked
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they are decoded to its text."""
+    kept = docs.select(F.struct("doc_id", "lang", "source", F.sha2("text", 256).alias("sha")).alias("doc"), "text")
+    coded = piece_encoding.encode(kept, piece_encoding.model_path(), id_col="doc")
+    same = F.coalesce(F.sha2("decoded", 256) == F.col("doc.sha"), F.length("decoded") == 0)
+    return coded.select("doc.doc_id", "doc.lang", "doc.source", "n_tokens", "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicate),
+    ("benchmark decontamination", decontaminate),
+    ("personal data", mask_personal_data),
+    ("sentencepiece", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder before the next one reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name.replace(" ", "-"))
+    return docs
