@@ -244,3 +244,33 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB, by the definition: all pairs of texts that share an n-gram, then the links' transitive closure.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN []
+    ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS g
+    FROM words)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), near AS (
+  SELECT x, y FROM links JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * both >= 85 * (s.n + t.n - both)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, near.y FROM reach JOIN near ON reach.b = near.x
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""

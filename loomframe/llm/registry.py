@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontamination, language_id, near_duplicates, personal_data, piece_encoding, quality_compression, quality_rules, toxicity
+from . import class_lm, decontamination, language_id, near_duplicates, personal_data, piece_encoding, quality_compression, quality_rules, tool_calls, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_tool_calls": tool_calls.query,
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op4_ngram_jaccard": near_duplicates.query,
@@ -20,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator; the others learn or hash, and the tests hold them against brute force."""
+    return {"op1_tool_calls": tool_calls.ORACLE, "op4_ngram_jaccard": near_duplicates.ORACLE}
