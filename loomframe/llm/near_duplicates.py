@@ -260,11 +260,11 @@ WITH RECURSIVE words AS (
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
 ), links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), near AS (
   SELECT x, y FROM links JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
-  WHERE 100 * both >= 85 * (s.n + t.n - both)
+  WHERE 100 * shared >= 85 * (s.n + t.n - shared)
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION
