@@ -255,7 +255,7 @@ WITH RECURSIVE words AS (
 ), grams AS (
   SELECT DISTINCT doc_id, g FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')) END) AS g
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g
     FROM words)
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
