@@ -62,7 +62,7 @@ class Aggregate(Function):
 
 
 class Extend(Function):
-    """A function of one row: ``build(*columns)`` makes a column, or with several ``names`` a struct of so many fields."""
+    """A function of one row: ``build(*columns)`` makes a column, or with ``names`` a list of so many columns."""
 
     def __init__(self, *inputs: ColumnRef, build: Callable[..., Column], names: list[str] | None = None):
         super().__init__(*inputs)

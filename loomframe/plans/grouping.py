@@ -70,7 +70,7 @@ def _key_names(n: int) -> list[str]:
 
 def _extend_columns(e: Extend, columns: list[Column]) -> list[Column]:
     value = e.build(*columns)
-    return [value.alias(n) for n in e.outputs] if len(e.outputs) == 1 else [value[i].alias(n) for i, n in enumerate(e.outputs)]
+    return [c.alias(n) for c, n in zip(value if isinstance(value, list | tuple) else [value], e.outputs, strict=True)]
 
 
 def _source(part: Part, kinds: list[T.DataType], needed: list[ColumnRef]) -> DataFrame:

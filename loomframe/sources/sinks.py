@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .dataset import Dataset
 
 
 def _check(result: Dataset, path: str) -> None:
-    norm = lambda p: p.split(":", 1)[-1].replace("//", "/").rstrip("/")
+    norm = lambda p: re.sub("/+", "/", re.sub(r"^\w+:", "", p)).rstrip("/")
     if any(norm(f).startswith(norm(path) + "/") or norm(f) == norm(path) for f in result.source.inputFiles()):
         raise ValueError(f"{path} is read by what is to be written there")
 
