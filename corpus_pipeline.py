@@ -14,11 +14,11 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
-    stats = written(quality_rules.statistics(docs), "statistics")
-    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"))
-    # the statistics of a text decide, so they are worked out again here instead of being joined by an id
-    verdict = quality_rules.judge(quality_rules.statistics(docs.select(F.struct(*docs.columns).alias("doc"), "text"), id_col="doc"), rules)
-    return verdict.where("kept").select("doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    # written with the documents, so that the statistics are worked out once and verdicts need no join by an id
+    stats = written(quality_rules.statistics(whole, id_col="doc"), "statistics")
+    rules = quality_rules.learn(stats.withColumn("doc_id", F.col("doc.doc_id")), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, rules).where("kept").select("doc.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,6 +58,13 @@ def _remember(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now: it does so when the driver's JVM collects what refers to them,
+    which a driver with little to do would put off for long while the executors' disks stay full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and nothing reads any more."""
     spark = df.sparkSession
@@ -103,38 +111,41 @@ def label_counts(labels: DataFrame, label_col: str) -> dict:
 
 
 def per_document(df: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply ``work(ids, texts) -> columns`` to the Arrow batches of two columns; nothing else of ``df`` is read.
+    """Apply ``work(ids, texts) -> columns`` to two columns, some texts at a time; nothing else of ``df`` is read.
 
-    ``work`` is made in each task by calling ``work()`` once, so that models are loaded once a task.
+    ``work`` is made in each task by calling ``work()`` once, so that models are loaded once a task. It gets about two
+    million bytes of text at a time, one text at least, so memory is bounded by that and the largest text.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     target = df.sparkSession.createDataFrame([], schema).schema
     names = target.names
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(target)
 
     def run(batches):
         apply = work()
         for batch in batches:
-            out = apply(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], names=names)
+            ids, texts = batch.column(0), batch.column(1)
+            for part in ranges(pc.binary_length(texts).to_pylist()):
+                out = apply(ids[part].to_pylist(), texts[part].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], names=names)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, target)
 
 
-def ranges(texts: list, chars: int = 2_000_000):
-    """Slices of ``texts`` with about ``chars`` characters each, at least one text, so that work arrays stay small."""
+def ranges(sizes: list, most: int = 2_000_000):
+    """Slices of texts of these sizes (null: 0) with about ``most`` in each, at least one text."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > chars:
+    for i, n in enumerate(sizes):
+        n = n or 0
+        if i > start and size + n > most:
             yield slice(start, i)
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 class WordHashes:
@@ -149,7 +160,7 @@ class WordHashes:
         if not text:
             return np.zeros(0, np.uint64)
         seen, out = self.seen, []
-        if len(seen) > 1_000_000:
+        if len(seen) > 400_000:
             seen.clear()
         for w in text.encode("utf-8", "replace").lower().split():
             h = seen.get(w)

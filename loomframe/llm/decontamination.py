@@ -60,6 +60,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     one document here, with the longest overlap of theirs. Other columns are never read.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = docs.sparkSession
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -105,10 +106,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         words_of, marks = WordHashes(), np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
         hit_type = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             at, toks, hits = [], [], []
-            for part in ranges(texts):
-                own = [words_of(t) for t in texts[part]]
+            for part in ranges(pc.binary_length(texts).to_pylist()):
+                own = [words_of(t) for t in texts[part].to_pylist()]
                 starts = np.cumsum([0, *map(len, own)])
                 joined = np.concatenate(own) if own else np.zeros(0, np.uint64)
                 found: dict[int, list] = {}

@@ -17,6 +17,7 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import per_document, table
@@ -24,7 +25,7 @@ from .common import per_document, table
 SPACE_MARK = "▁"
 _PARTS = re.compile(r" +[^ ]*")
 #: Encoded chunks and tested pairs that a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def merge_encode(text: str, rank: dict[str, float]) -> list[str]:
@@ -252,9 +253,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         pieces = load(model_file)
 
         def work(ids, texts):
-            coded = [pieces.encode(t) if t else [] for t in texts]
+            both = [pieces.joined(t or "") for t in texts]
+            coded = [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in both]
             out = [ids, coded, [len(c) for c in coded]]
-            return [*out, [pieces.decode(c) for c in coded]] if with_text else out
+            return [*out, [plain for _, plain in both]] if with_text else out
 
         return work
 

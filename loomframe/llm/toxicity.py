@@ -17,11 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, label_counts, labelled_texts, per_document, ranges, table
+from .common import fold, label_counts, labelled_texts, per_document, table
 
 _WORD = re.compile(r"\w+")
 #: Words whose emissions a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Words in a row of the blocked recursion.
 ROW = 128
 #: Lengths of the word beginnings that are features, and the slots they are hashed to.
@@ -286,13 +286,12 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
         def work(ids, texts):
             scores, most, found = [], [], []
             a, b, c, d = m.calibration
-            for part in ranges(texts):
-                own = [t or "" for t in texts[part]]
-                for text, p in zip(own, marginals([emissions(t) for t in own], m.transition), strict=True):
-                    x = _features(p)
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * x[0] + b * x[1] + c * x[2] + d)))))
-                    most.append(x[0])
-                    found.append([{"start": s, "end": e, "marginal": q} for s, e, q in spans(text, p)])
+            own = [t or "" for t in texts]
+            for text, p in zip(own, marginals([emissions(t) for t in own], m.transition), strict=True):
+                x = _features(p)
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * x[0] + b * x[1] + c * x[2] + d)))))
+                most.append(x[0])
+                found.append([{"start": s, "end": e, "marginal": q} for s, e, q in spans(text, p)])
             return ids, scores, [int(s >= threshold) for s in scores], most, found
 
         return work
