@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, bitmap_of, marked, ranges, table, written
+from .common import WordHashes, bitmap_of, marked, ranges, release, table, written
 from .components import components
 
 #: Slots of the n-gram counts that the order goes by: so many bytes are broadcast for any corpus.
@@ -50,26 +50,32 @@ def ngram_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall in each of SIGNATURE parts of the hash space."""
+    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE).astype(np.int32)
+
+
 def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc, size, f1, f2, grams): rows are numbered in a written table, so numbers don't change."""
+    """(row, doc, size, f1, f2, slots, grams): rows are numbered in a written table, so numbers don't change."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
         words_of = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in ranges(texts, 4_000_000):
-                own = [ngram_set(words_of(t), n) for t in texts[part]]
+            ids, texts = batch.column(0), batch.column(1)
+            for part in ranges(pc.binary_length(texts).to_pylist(), 4_000_000):
+                own = [ngram_set(words_of(t), n) for t in texts[part].to_pylist()]
                 marks = [(int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(_mix(s ^ _K[1]).sum(dtype=np.uint64).view(np.int64))) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[part], pa.array([len(s) for s in own], pa.int32()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())],
-                    names=["doc", "size", "f1", "f2", "grams"],
+                    [ids[part], pa.array([len(s) for s in own], pa.int32()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([_slots(s) for s in own], pa.list_(pa.int32())), pa.array([s.tobytes() for s in own], pa.binary())],
+                    names=["doc", "size", "f1", "f2", "slots", "grams"],
                 )
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = plain.mapInArrow(run, f"doc {kind}, size int, f1 bigint, f2 bigint, grams binary")
+    made = plain.mapInArrow(run, f"doc {kind}, size int, f1 bigint, f2 bigint, slots array<int>, grams binary")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -144,7 +150,14 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     spark = sets.sparkSession
-    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    few = sets.select("row", "slots")
+    # suffix filter: what two sets have in common is at most the sum of the lesser numbers of each slot
+    met = pairs.join(few.select(F.col("row").alias("a"), F.col("slots").alias("sa")), "a").join(few.select(F.col("row").alias("b"), F.col("slots").alias("sb")), "b")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    common = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
+    hopeful = written(met.where(F.lit(100 + percent) * common >= F.lit(percent) * (total(F.col("sa")) + total(F.col("sb")))).select("a", "b"), "hopeful")
+    release(spark)
+    ends = hopeful.select(F.col("a").alias("row")).unionByName(hopeful.select(F.col("b").alias("row"))).distinct()
     hashed = F.xxhash64("row")
     needed = spark.sparkContext.broadcast(bitmap_of(ends.select(hashed.alias("h")), NEEDED_BITS))
 
@@ -152,18 +165,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         marks = np.frombuffer(zlib.decompress(needed.value), np.uint8)
         for batch in batches:
             keep = marked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), marks)
-            chosen = batch.filter(pa.array(keep))
-            data = chosen.column(2).to_pylist()
-            slots = [np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE).tolist() for x in data]
-            yield pa.RecordBatch.from_arrays([chosen.column(1), pa.array(slots, pa.list_(pa.int32())), chosen.column(2)], names=["row", "slots", "grams"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[1:]], names=["row", "grams"])
 
-    chosen = written(sets.select(hashed.alias("h"), "row", "grams").mapInArrow(choose, "row bigint, slots array<int>, grams binary"), "chosen")
-    few = chosen.select("row", "slots")
-    # suffix filter: what two sets have in common is at most the sum of the lesser numbers of each slot
-    met = pairs.join(few.select(F.col("row").alias("a"), F.col("slots").alias("sa")), "a").join(few.select(F.col("row").alias("b"), F.col("slots").alias("sb")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
-    common = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
-    hopeful = met.where(F.lit(100 + percent) * common >= F.lit(percent) * (total(F.col("sa")) + total(F.col("sb")))).select("a", "b")
+    full = sets.select(hashed.alias("h"), "row", "grams").mapInArrow(choose, "row bigint, grams binary")
 
     def verify(batches):
         for batch in batches:
@@ -174,9 +178,10 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    full = chosen.select("row", "grams")
     whole = hopeful.join(full.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(full.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
-    return written(whole.select("a", "b", "ga", "gb").mapInArrow(verify, "a bigint, b bigint"), "links")
+    links = written(whole.select("a", "b", "ga", "gb").mapInArrow(verify, "a bigint, b bigint"), "links")
+    release(spark)
+    return links
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -201,6 +206,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     last = {c: F.lag(c).over(by_gram).alias(f"last_{c}") for c in ("row", "size", "pos")}
     lists = prefixes.select("gram", "row", "size", "pos", *last.values(), F.lead("row").over(by_gram).alias("next"))
     lists = written(lists.where("last_row is not null or next is not null").drop("next"), "lists")
+    release(docs.sparkSession)
 
     def nodes(pairs: DataFrame) -> DataFrame:
         """Pairs of rows as pairs of nodes, each once."""
