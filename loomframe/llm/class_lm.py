@@ -24,7 +24,7 @@ END = " "
 #: Classes that the form of an uncommon word decides: by its length and its last byte.
 FORMS = 24
 #: Words a task counts before it hands them on.
-COUNTED = 1_000_000
+COUNTED = 500_000
 #: The common words' table: this many words and their counts at most are broadcast.
 COMMON = 1 << 17
 
@@ -148,7 +148,8 @@ def exchange(pairs: np.ndarray, free: int, n_classes: int, rounds: int = 6) -> n
             M[own] -= out
             M[:, own] -= into
             M[own, own] -= self_pair
-            left, right = M.sum(1), M.sum(0)
+            # wherever the unit goes, the others' margins count their pairs with it
+            left, right = M.sum(1) + into, M.sum(0) + out
             # what the sums change by if the unit joins class c: its row, its column, its own cell, its margins
             rows, cols = xlogx(M[:k] + out) - xlogx(M[:k]), xlogx(M[:, :k].T + into) - xlogx(M[:, :k].T)
             c = np.arange(k)
