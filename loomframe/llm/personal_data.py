@@ -255,11 +255,11 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     """Train on about ``sample`` of the documents that hold a digit or an at sign, drawn by a hash of their id.
 
     No such document: an untrained field, which adds nothing."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # one document in so many: the count of all documents bounds the sample from above
     total = docs.count()
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = own.where(draw < 8 * sample / max(total, 1)).limit(4 * sample).collect()
+    rows = own.where(draw < 8 * sample / max(total, 1)).where(F.col("text").rlike("[0-9@]")).limit(4 * sample).collect()
     texts = sorted((r["text"] for r in rows), key=lambda t: hashlib.sha256(t.encode("utf-8", "replace")).digest())[:sample]
     return train(texts)
 
