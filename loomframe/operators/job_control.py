@@ -12,6 +12,7 @@ from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.dataset import Dataset
+from .criteria import Resolver
 
 
 def counted(dataset: Dataset, name: str | None = None) -> tuple[Dataset, Observation]:
@@ -19,7 +20,8 @@ def counted(dataset: Dataset, name: str | None = None) -> tuple[Dataset, Observa
     rows before and after its constraints. They cost no pass of their own; ``observation.get`` waits for the result."""
     counters = Observation(name or dataset.name)
     rows = replace(dataset, constraints=()).df
-    kept = reduce(lambda a, b: a & b, [p.column(dataset.column) for p in dataset.constraints], F.lit(True))
+    resolve = Resolver(dataset.column, rows.schema)
+    kept = reduce(lambda a, b: a & b, [p.sure(resolve) for p in dataset.constraints], F.lit(True))
     flagged = rows.withColumn("_kept", kept)
     total = F.count(F.lit(1))
     passed = F.count(F.when(F.col("_kept"), 1))

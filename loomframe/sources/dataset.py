@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.criteria import Resolver
+
 Expression = Callable[[Callable[[str], Column]], Column]
 
 
@@ -108,8 +110,10 @@ class Dataset:
                 parts = [F.col(f"_rows{i}").getField(f.name).alias(n) for n, f in zip(names, one.fields, strict=True)] if isinstance(one, T.StructType) else [F.col(f"_rows{i}").alias(names[0])]
                 out = out.select(*keep, *parts)
             made += names
-        for p in self.constraints:
-            out = out.where(p.column(self.column))
+        if self.constraints:
+            resolve = Resolver(self.column, out.schema)
+            for p in self.constraints:
+                out = out.where(p.column(resolve))
         return out
 
 

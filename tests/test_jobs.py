@@ -94,3 +94,22 @@ def test_aggregates_are_combined_before_the_join(items, members):
 def test_wrong_jobs_are_refused_at_once(items, members, wrong):
     with pytest.raises(ValueError):
         wrong(items, members)
+
+
+def test_constraints_reach_the_scan(spark, tmp_path):
+    import datetime as dt
+
+    from loomframe import typed
+
+    path = str(tmp_path / "p")
+    spark.sql("select id, cast(id as double) d, cast(id as string) s, timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id as int)) t, id other from range(20)").write.parquet(path)
+    d = typed(spark, "d", path).where(C.gt("d", 3)).where(C.ge("t", dt.date(2020, 1, 5)) & C.lt("t", dt.date(2020, 1, 12))).where(C.within("s", ["5", "7", "50"]) | C.eq("id", 9))
+    out = list_columns(d, "id")
+    assert sorted(r[0] for r in out.df.collect()) == [5, 7, 9]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = list_columns(d, "id").df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    for part in ("GreaterThan(d,3.0)", "GreaterThanOrEqual(t", "LessThan(t", "Or(In(s"):
+        assert part in pushed, pushed
+    assert "other" not in plan[plan.index("ReadSchema") :].split("\n")[0]
