@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,18 @@ def _remember(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Python gets so many rows at a time from what runs inside the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs now: it does so when the driver's JVM collects what refers to them,
     which a driver with little to do would put off for long while the executors' disks stay full."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, bitmap_of, marked, ranges, release, table, written
+from .common import WordHashes, bitmap_of, marked, ranges, release, small_batches, table, written
 from .components import components
 
 #: Slots of the n-gram counts that the order goes by: so many bytes are broadcast for any corpus.
@@ -66,7 +66,7 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         words_of = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for part in ranges(pc.binary_length(texts).to_pylist(), 4_000_000):
+            for part in ranges(pc.binary_length(texts).to_pylist(), 1_000_000):
                 own = [ngram_set(words_of(t), n) for t in texts[part].to_pylist()]
                 marks = [(int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(_mix(s ^ _K[1]).sum(dtype=np.uint64).view(np.int64))) for s in own]
                 yield pa.RecordBatch.from_arrays(
@@ -193,6 +193,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     have no set and are linked with nothing. Repeated rows have equal sets and so one component; a null id counts as an
     id only where its component has no other. Other columns are never read. An empty table gives an empty one.
     """
+    with small_batches(docs.sparkSession):  # sets are long rows; all steps that hand them to Python run in here
+        return _group(docs, id_col, text_col, n, percent)
+
+
+def _group(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     sets = _sets(docs, n, id_col, text_col)
     rows = sets.select("row", "doc", "size", "f1", "f2")
     # a class for each set of n-grams; its node is its first row. The minima are combined before the shuffle
@@ -220,12 +225,16 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     links = _compare(first, sets, percent)
     found = written(components(links), "components")
 
-    # entries with their components; meetings that have one component only are done
-    label = lists.select("gram", "row", "size", "pos").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
-    label = label.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("gram", "size", "pos", "node", F.coalesce("component", "node").alias("component")).distinct()
-    label = written(label, "labels")
-    open_grams = label.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    left = label.join(open_grams, "gram")
+    # entries with their components; only those whose meeting still has several go on
+    linked = found.select(F.col("node").alias("_n"), "component")
+    moved = copies.join(linked, F.col("node") == F.col("_n"), "left").select("row", "node", F.coalesce("component", "node").alias("component"))
+    moved = moved.unionByName(linked.select(F.col("_n").alias("row"), F.col("_n").alias("node"), "component"))
+    label = lists.select("gram", "row", "size", "pos").join(written(moved, "moved"), "row", "left")
+    label = label.select("gram", "size", "pos", F.coalesce("node", "row").alias("node"), F.coalesce("component", "row").alias("component"))
+    meeting = Window.partitionBy("gram")
+    several = label.withColumns({"_x": F.min("component").over(meeting), "_y": F.max("component").over(meeting)}).where("_x <> _y").drop("_x", "_y")
+    left = written(several.distinct(), "labels")
+    release(docs.sparkSession)
     s, t = left.alias("s"), left.alias("t")
     ordered = (F.col("s.size") < F.col("t.size")) | ((F.col("s.size") == F.col("t.size")) & (F.col("s.node") < F.col("t.node")))
     across = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & ordered & _worth("s.size", "t.size", "s.pos", "t.pos", percent))
