@@ -3,10 +3,10 @@
 1. Every text becomes a sorted set of n-gram hashes; rows with equal sets are one class from here on.
 2. N-grams are ordered from rare to frequent, by counts over all rows, and of each set the first few are its prefix: two
    sets that are similar enough share an n-gram of both prefixes (prefix filter).
-3. Prefix entries meet by n-gram. In each meeting, neighbours in order of size are compared first, which takes as many
-   pairs as there are entries and links most of what is alike. Only where a meeting still has several components are
-   the pairs across them compared, so large groups of copies never become all their pairs, and no link between
-   components is missed.
+3. Prefix entries meet by n-gram. First each row is compared with two others that it meets, which links most of what is
+   alike; where a meeting still has several components, one row of the leading one is compared with each entry of
+   another. Both take no more pairs than there are entries. Only what is left after that is compared in all pairs across
+   components, so large groups of copies never become all their pairs, and no link between components is missed.
 4. A pair is compared once, and only if its sizes (length filter), the places of the n-gram in both orders (positional
    filter) and the numbers of n-grams in each of 64 slots of the hash space (suffix filter) allow enough in common.
 """
@@ -209,7 +209,8 @@ def _group(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     prefixes = _prefixes(sets, _levels(sets), percent)
     by_gram = Window.partitionBy("gram").orderBy("size", "row")
     last = {c: F.lag(c).over(by_gram).alias(f"last_{c}") for c in ("row", "size", "pos")}
-    lists = prefixes.select("gram", "row", "size", "pos", *last.values(), F.lead("row").over(by_gram).alias("next"))
+    hub = F.min("row").over(Window.partitionBy("gram")).alias("hub")
+    lists = prefixes.select("gram", "row", "size", "pos", hub, *last.values(), F.lead("row").over(by_gram).alias("next"))
     lists = written(lists.where("last_row is not null or next is not null").drop("next"), "lists")
     release(docs.sparkSession)
 
@@ -220,26 +221,45 @@ def _group(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
             pairs = pairs.join(own, side, "left").withColumn(side, F.coalesce("_node", side)).drop("_node")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    beside = lists.where(F.col("last_row").isNotNull() & _worth("last_size", "size", "last_pos", "pos", percent)).select(F.col("last_row").alias("a"), F.col("row").alias("b")).distinct()
-    first = written(nodes(beside), "pairs")
+    # two partners for each row: the neighbour in most of its meetings, and the least row of any of them
+    worth = F.col("last_row").isNotNull() & _worth("last_size", "size", "last_pos", "pos", percent)
+    beside = lists.where(worth).groupBy("row", "last_row").agg(F.count("*").alias("n"))
+    beside = beside.groupBy("row").agg(F.max_by("last_row", F.struct("n", "last_row")).alias("b"))
+    hubs = lists.where("hub <> row").groupBy("row").agg(F.min("hub").alias("b"))
+    first = written(nodes(beside.unionByName(hubs).select(F.col("row").alias("a"), "b")), "pairs")
     links = _compare(first, sets, percent)
     found = written(components(links), "components")
 
-    # entries with their components; only those whose meeting still has several go on
-    linked = found.select(F.col("node").alias("_n"), "component")
-    moved = copies.join(linked, F.col("node") == F.col("_n"), "left").select("row", "node", F.coalesce("component", "node").alias("component"))
-    moved = moved.unionByName(linked.select(F.col("_n").alias("row"), F.col("_n").alias("node"), "component"))
-    label = lists.select("gram", "row", "size", "pos").join(written(moved, "moved"), "row", "left")
-    label = label.select("gram", "size", "pos", F.coalesce("node", "row").alias("node"), F.coalesce("component", "row").alias("component"))
-    meeting = Window.partitionBy("gram")
-    several = label.withColumns({"_x": F.min("component").over(meeting), "_y": F.max("component").over(meeting)}).where("_x <> _y").drop("_x", "_y")
-    left = written(several.distinct(), "labels")
-    release(docs.sparkSession)
+    def open_entries(found: DataFrame) -> DataFrame:
+        """Entries with their components, of meetings that still have several."""
+        linked = found.select(F.col("node").alias("_n"), "component")
+        moved = copies.join(linked, F.col("node") == F.col("_n"), "left").select("row", "node", F.coalesce("component", "node").alias("component"))
+        moved = moved.unionByName(linked.select(F.col("_n").alias("row"), F.col("_n").alias("node"), "component"))
+        label = lists.select("gram", "row", "size", "pos").join(written(moved, "moved"), "row", "left")
+        label = label.select("gram", "size", "pos", F.coalesce("node", "row").alias("node"), F.coalesce("component", "row").alias("component"))
+        meeting = Window.partitionBy("gram")
+        lead = F.min(F.struct("component", "node", "size", "pos")).over(meeting)
+        label = label.withColumns({"lead": lead, "_y": F.max("component").over(meeting)}).where("lead.component <> _y").drop("_y")
+        out = written(label.distinct(), "labels")
+        release(docs.sparkSession)
+        return out
+
+    # one of a meeting's leading component for each entry of another: as many pairs as such entries
+    entries = open_entries(found).where("lead.component <> component").withColumns({f"l_{c}": F.col(f"lead.{c}") for c in ("node", "size", "pos")})
+    can = _worth("size", "l_size", "pos", "l_pos", percent) | _worth("l_size", "size", "l_pos", "pos", percent)
+    led = entries.where(can).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+    led = written(led.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_compare(led, sets, percent))
+    found = written(components(links), "components")
+
+    # what is left: every pair across components
+    tested = first.unionByName(led)
+    left = open_entries(found).drop("lead")
     s, t = left.alias("s"), left.alias("t")
     ordered = (F.col("s.size") < F.col("t.size")) | ((F.col("s.size") == F.col("t.size")) & (F.col("s.node") < F.col("t.node")))
     across = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & ordered & _worth("s.size", "t.size", "s.pos", "t.pos", percent))
     across = across.select(F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b")).distinct()
-    second = written(across.join(first, ["a", "b"], "left_anti"), "pairs")
+    second = written(across.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_compare(second, sets, percent))
     found = written(components(links), "components")
 
