@@ -1,11 +1,15 @@
 """Each stage of the pipeline against what its operator says of the rows before it, and the queries' SQL."""
 
+import random
+
 import duckdb
 
 import corpus_pipeline
 from loomframe.llm import decontamination, near_duplicates, personal_data, quality_rules, registry
 from loomframe.llm.common import table, written
 
+from .test_matching import brute_groups
+
 
 def test_stages(spark, sample):
     docs = table(spark, sample, "documents")
@@ -33,6 +37,21 @@ def test_stages(spark, sample):
     assert before.count() > 0.7 * docs.count()
 
 
+def test_near_duplicate_stage(spark, docs, sample):
+    """Brute force with five words and 0.8; some pairs are near copies for that and not for op4's four words and 0.85."""
+    rnd = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = [f"w{i}_{k}" for k in range(60)]
+        texts += [" ".join(words), " ".join(w if k not in range(20, 20 + i % 5) else f"x{k}" for k, w in enumerate(words))]
+        if i % 4 == 0:
+            texts.append(" ".join(words[: 60 - rnd.randrange(14)]))
+    want = [i for i, (_, c) in enumerate(brute_groups(texts, 5, 80)) if c == i]
+    assert want != [i for i, (_, c) in enumerate(brute_groups(texts, 4, 85)) if c == i]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert [r["doc_id"] for r in stage(spark, docs(texts), sample).orderBy("doc_id").collect()] == want
+
+
 def test_sql(spark, sample):
     duck = duckdb.connect()
     for t in ("documents", "conversations"):
