@@ -162,12 +162,13 @@ def ranges(sizes: list, most: int = 2_000_000):
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered up to a number."""
+    """64-bit hashes of words, remembered up to a number. A-Z count as lower case, with ``all_cases`` every letter of
+    Unicode (case folding, which is lower case but for a few letters like sharp s)."""
 
-    def __init__(self):
+    def __init__(self, all_cases: bool = False):
         import xxhash
 
-        self.digest, self.seen = xxhash.xxh64_intdigest, {}
+        self.digest, self.seen, self.all_cases = xxhash.xxh64_intdigest, {}, all_cases
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -175,6 +176,8 @@ class WordHashes:
         seen, out = self.seen, []
         if len(seen) > 400_000:
             seen.clear()
+        if self.all_cases:
+            text = text.casefold()
         for w in text.encode("utf-8", "replace").lower().split():
             h = seen.get(w)
             if h is None:

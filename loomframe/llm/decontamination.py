@@ -55,7 +55,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     An overlap is the best stretch of words, document against item without gaps, in which matches outweigh mismatches
     at ``identity``; it counts if it has at least ``least_words`` words, or all words of a shorter item, of which at least
-    ``identity`` are equal. Words are runs without ASCII white space, A-Z in lower case. Items of fewer than 4 words, null
+    ``identity`` are equal. Words are runs without ASCII white space, compared without regard to case (of any script). Items of fewer than 4 words, null
     or empty texts and items without id overlap with nothing. Repeated documents each overlap; rows that share an id are
     one document here, with the longest overlap of theirs. Other columns are never read.
     """
@@ -68,7 +68,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = _items(benchmark, item_col, item_text_col)
 
     def hash_items(batches):
-        words_of = WordHashes()
+        words_of = WordHashes(all_cases=True)
         for batch in batches:
             keys, toks, sizes = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,7 +103,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     bitmap = spark.sparkContext.broadcast(bitmap_of(seeds.select("h"), bits))  # 2 ** BITS[1] bits at most
 
     def scan(batches):
-        words_of, marks = WordHashes(), np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
+        words_of, marks = WordHashes(all_cases=True), np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
         hit_type = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

@@ -102,6 +102,15 @@ def test_decontamination(spark, docs):
     assert decontamination.find(table, bench.limit(0)).count() == 0 and decontamination.find(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_capitals(spark, docs):
+    """Capitals with accents, of other scripts, and those that change a word's length are the same words."""
+    items = ["l'été où la forêt brûlée était à côté du château près de Besançon hélas", "στο τέλος ο δρόμος είναι μακρύς και ο λόγος σοφός εδώ πάντα ΟΔΟΣ", "die straße an der großen schleuße heißt süß und müßig außer für füße"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [items[0].upper(), items[1].upper(), items[2].upper(), items[0], "x " + items[1].title(), "nothing of them at all"]
+    got = {(r["doc_id"], r["item_id"], r["n_matched"]) for r in decontamination.find(docs(texts), bench).collect()}
+    assert got == {(d, i, len(items[i].split())) for d, i in enumerate((0, 1, 2, 0, 1))}
+
+
 def test_every_window_is_looked_at(spark, docs):
     """Brute force: any two passages that share twelve words in a row overlap, wherever they stand."""
     rnd = random.Random(3)
