@@ -11,6 +11,7 @@ to the join; it may let too many through, never too few.
 from __future__ import annotations
 
 import zlib
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,19 +19,30 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bitmap_of, marked, ranges, table, written
 
-#: Seeds of weight 7 and 8. With any one word in eight substituted, every passage of 14 words keeps a hit.
-MASKS = ("11101011011", "110110101011", "11011100111")
-#: The bitmap has at least and at most so many bits (2 ** n), and in between 64 for each hash.
+#: Seeds of weight 6 and at most 9 words. Every passage of 10 words with any 2 substituted keeps a hit, and every one of 15
+#: with any 3; so does every longer one with a fifth of its words substituted, as some part of it of 10 to 19 words has no
+#: more of them.
+MASKS = ("110101011", "1101111", "11110011", "111111", "110011011")
+#: Items of fewer words are looked for as a whole.
+WHOLE = 10
+#: The bitmap has at least and at most so many bits (2 ** n), and in between 1,024 for each hash, which sets two.
 BITS = (20, 27)
 
 _MULT = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(64)]
 
 
-def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
-    """Offsets of each mask's ones: the spaced seeds, and for items shorter than the longest seed all their words."""
-    spaced = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-    longest = max(map(len, MASKS))
-    return spaced + [tuple(range(n)) for n in sorted(lengths) if 0 < n < longest]
+def masks_for(lengths: set[int], identity: float = 0.8) -> list[tuple[tuple[int, ...], int | None]]:
+    """Offsets of each mask's ones and the length of the items that it is for (null: all others): the spaced seeds, and for
+    items of fewer than WHOLE words all words but one part of them, in turn, so that as many substitutions as ``identity``
+    allows leave one of the masks alone."""
+    out: list[tuple[tuple[int, ...], int | None]] = [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in MASKS]
+    for n in sorted(n for n in lengths if 0 < n < WHOLE):
+        wrong = int(n * (1 - identity) + 1e-9)
+        # in as many parts as can be spared: with 2 parts more than substitutions, two are always whole
+        parts = [p.tolist() for p in np.array_split(np.arange(n), min(n, max(n // 2, wrong + 2)))]
+        for left_out in combinations(range(len(parts)), wrong):
+            out.append((tuple(o for k, p in enumerate(parts) if k not in left_out for o in p), n))
+    return out
 
 
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -53,9 +65,9 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 10, identity: float = 0.8) -> DataFrame:
     """One row per document and benchmark item that overlap: ids, ``n_overlap``, ``n_matched``, ``first_word``.
 
-    An overlap is the best stretch of words, document against item without gaps, in which matches outweigh mismatches
-    at ``identity``; it counts if it has at least ``least_words`` words, or all words of a shorter item, of which at least
-    ``identity`` are equal. Words are runs without ASCII white space, compared without regard to case (of any script). Items of fewer than 4 words, null
+    An overlap is a stretch of at least ``least_words`` words, or all words of a shorter item, document against item
+    without gaps, of which at least ``identity`` are equal; of several, the one in which matches outweigh mismatches most.
+    From 0.8 and 10 words on, and for shorter items, none is missed. Words are runs without ASCII white space, compared without regard to case (of any script). Items of fewer than 4 words, null
     or empty texts and items without id overlap with nothing. Repeated documents each overlap; rows that share an id are
     one document here, with the longest overlap of theirs. Other columns are never read.
     """
@@ -80,18 +92,17 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(toks, pa.binary()), pa.array(sizes, pa.int32())], names=["item_id", "item_words", "n"])
 
     known = written(items.mapInArrow(hash_items, f"item_id {item_kind}, item_words binary, n int").withColumn("item", F.monotonically_increasing_id()), "items")
-    longest = max(map(len, MASKS))
-    masks = masks_for({r[0] for r in known.where(F.col("n") < longest).select("n").distinct().collect()})
+    masks = masks_for({r[0] for r in known.where(F.col("n") < WHOLE).select("n").distinct().collect()}, identity)
 
     def seed_items(batches):
         for batch in batches:
             hs, its, ps = [], [], []
             for item, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = np.frombuffer(data, np.uint64)
-                for m, mask in enumerate(masks):
-                    if m >= len(MASKS) and len(mask) != len(w):
-                        continue  # the short masks are for whole items alone
-                    h = seed_hashes(w, mask, m)
+                for m, (mask, length) in enumerate(masks):
+                    if length != (len(w) if len(w) < WHOLE else None):
+                        continue
+                    h = seed_hashes(w, mask, m)[: 1 if length else None]
                     hs.append(h.view(np.int64))
                     its.append(np.full(len(h), item, np.int64))
                     ps.append(np.arange(len(h), dtype=np.int32))
@@ -99,8 +110,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(join(hs, np.int64)), pa.array(join(its, np.int64)), pa.array(join(ps, np.int32))], names=["h", "item", "item_pos"])
 
     seeds = written(known.select("item", "item_words").mapInArrow(seed_items, "h bigint, item bigint, item_pos int"), "seeds")
-    bits = max(BITS[0], min(BITS[1], int(seeds.count() * 64).bit_length()))
-    bitmap = spark.sparkContext.broadcast(bitmap_of(seeds.select("h"), bits))  # 2 ** BITS[1] bits at most
+    bits = max(BITS[0], min(BITS[1], int(seeds.count() * 1024).bit_length()))
+    # two bits for each hash, from its lower and its upper half
+    halves = seeds.select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("h"))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(halves, bits))  # 2 ** BITS[1] bits at most
 
     def scan(batches):
         words_of, marks = WordHashes(all_cases=True), np.frombuffer(zlib.decompress(bitmap.value), np.uint8)
@@ -113,9 +126,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 starts = np.cumsum([0, *map(len, own)])
                 joined = np.concatenate(own) if own else np.zeros(0, np.uint64)
                 found: dict[int, list] = {}
-                for m, mask in enumerate(masks):
+                for m, (mask, _) in enumerate(masks):
                     h = seed_hashes(joined, mask, m)
-                    for p in np.flatnonzero(marked(h, marks)):
+                    at_low = np.flatnonzero(marked(h, marks))
+                    for p in at_low[marked(h[at_low] >> np.uint64(32), marks)]:
                         d = int(np.searchsorted(starts, p, "right")) - 1
                         if p + mask[-1] < starts[d + 1]:  # inside one document
                             found.setdefault(d, []).append({"h": int(h[p].view(np.int64)), "pos": int(p - starts[d])})
@@ -135,9 +149,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         for batch in batches:
             n_over, n_match, first = [], [], []
             for words, item, diagonals in zip(*[batch.column(i).to_pylist() for i in (1, 3, 4)], strict=True):
-                x = best_overlap(np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64), diagonals, identity)
-                ok = x[0] >= min(least_words, len(item) // 8) and x[1] >= identity * x[0]
-                n_over.append(x[0] if ok else 0)
+                x = best_overlap(np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64), diagonals, identity, min(least_words, len(item) // 8))
+                n_over.append(x[0])
                 n_match.append(x[1])
                 first.append(x[2])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_over, pa.int64()), pa.array(n_match, pa.int64()), pa.array(first, pa.int64())], names=["id", "item_id", "n_overlap", "n_matched", "first_word"])
@@ -148,19 +161,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "m.n_overlap", "m.n_matched", (-F.col("m.back")).alias("first_word"))
 
 
-def best_overlap(words: np.ndarray, item: np.ndarray, diagonals, identity: float) -> tuple[int, int, int]:
-    """(words, equal words, first word in the document) of the best stretch: each match counts 1 - identity, each
-    mismatch -identity, and the stretch of the largest sum is taken; the longest, then the first, of all diagonals."""
+def best_overlap(words: np.ndarray, item: np.ndarray, diagonals, identity: float, least_words: int = 0) -> tuple[int, int, int]:
+    """(words, equal words, first word in the document) of the best stretch of at least ``least_words`` words: each match
+    counts 1 - identity, each mismatch -identity, and the stretch of the largest sum is taken, if that isn't negative; of
+    all diagonals the one with most equal words, then the longest, then the first."""
     best = (0, 0, 0)
     for d in sorted(diagonals):
         lo, hi = max(0, d), min(len(words), d + len(item))
-        if hi <= lo:
+        if hi <= lo or hi - lo < least_words:
             continue
         same = words[lo:hi] == item[lo - d : hi - d]
         total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity + 1e-9, -identity))])
-        least = np.minimum.accumulate(total)
-        end = int(np.argmax(total - least))
-        start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
+        # at each end, the least sum that a stretch of enough words can begin with
+        least = np.minimum.accumulate(total)[: len(total) - least_words]
+        sums = total[least_words:] - least
+        k = int(np.argmax(sums))
+        if sums[k] < -1e-9:
+            continue
+        start, end = int(np.flatnonzero(total[: k + 1] == least[k])[-1]), k + least_words
         matched = int(same[start:end].sum())
         if (matched, end - start) > (best[1], best[0]):
             best = (end - start, matched, lo + start)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -129,6 +130,30 @@ def test_every_window_is_looked_at(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(docs(texts), bench).collect()} == want
 
 
+def test_substitutions_at_all_places(spark, docs):
+    """Brute force: items of 5 to 20 words with up to a fifth of their words substituted, at all places or at many, and
+    passages of 10 words with two; none is missed, none has less than four fifths of its words."""
+    rnd = random.Random(9)
+    items = {n: [f"i{n}_{k}" for k in range(n)] for n in [*range(5, 21), 40]}
+    texts, want = [], {}
+    for n, item in items.items():
+        for wrong in range(n // 5 + 2 if n < 40 else 0):
+            places = list(itertools.combinations(range(n), wrong))
+            for at in rnd.sample(places, min(len(places), 60)):
+                words = [w if k not in at else "zz" for k, w in enumerate(item)]
+                windows = [(lo, hi) for lo in range(n) for hi in range(lo + min(10, n), n + 1)]
+                if any(5 * sum(w != "zz" for w in words[lo:hi]) >= 4 * (hi - lo) for lo, hi in windows):
+                    want[len(texts)] = n
+                texts.append(" ".join(["p", *words, "q"]))
+    for at in itertools.combinations(range(10), 2):
+        want[len(texts)] = 40
+        texts.append(" ".join(["p", *(w if k not in at else "zz" for k, w in enumerate(items[40][17:27])), "q"]))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = decontamination.find(docs(texts), bench).collect()
+    assert {r["doc_id"]: r["item_id"] for r in got} == want
+    assert all(r["n_overlap"] >= min(10, r["item_id"]) and 5 * r["n_matched"] >= 4 * r["n_overlap"] for r in got)
+
+
 def test_best_overlap_against_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(200):
