@@ -1,33 +1,44 @@
 """Near duplicates by an exact Jaccard join of word n-grams.
 
 1. Every text becomes a sorted set of n-gram hashes; rows with equal sets are one class from here on.
-2. N-grams are ordered from rare to frequent, by counts over all rows, and of each set the first few are its prefix: two
-   sets that are similar enough share an n-gram of both prefixes (prefix filter).
-3. Prefix entries meet by n-gram. First each row is compared with two others that it meets, which links most of what is
-   alike; where a meeting still has several components, one row of the leading one is compared with each entry of
-   another. Both take no more pairs than there are entries. Only what is left after that is compared in all pairs across
-   components, so large groups of copies never become all their pairs, and no link between components is missed.
+2. N-grams are ordered from rare to frequent, by counts over all rows. Of each set the first few are its prefix: two sets
+   that are similar enough share an n-gram of both prefixes (prefix filter). N-grams that only one set has come first in
+   the order and meet nothing, so most sets have no entry at all, and only sets with one are fetched for comparison.
+3. Entries meet by n-gram. Of each meeting the most ordinary set (least share of n-grams that no other has) is compared
+   with all others, which links groups of copies in as many pairs as there are entries; so is, once more, the most
+   ordinary of those that this left outside. What is left is compared in all pairs across components, so no link between
+   components is missed and large groups of copies never become all their pairs.
 4. A pair is compared once, and only if its sizes (length filter), the places of the n-gram in both orders (positional
-   filter) and the numbers of n-grams in each of 64 slots of the hash space (suffix filter) allow enough in common.
+   filter) and the numbers of n-grams in each of 64 parts of the hash space (suffix filter) allow enough in common. All
+   three leave out the n-grams that only one set has.
+
+How n-grams are counted: texts are gathered in chunks of some million n-grams. A chunk sends each of its n-grams once,
+with its number, to the strip of the hash space that it belongs to, as sorted differences of one to two bytes; a strip
+adds up and answers each chunk with the n-grams that stand in several sets. So a frequent n-gram is one number a chunk,
+and nothing about the n-grams is broadcast or collected. The hash space for counting has at least 16 slots for each byte
+of text, so it grows with the corpus; two n-grams that share a slot count as one, which may let a pair through to the
+comparison, never keep it from there. Comparisons are of 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WordHashes, bitmap_of, marked, ranges, release, small_batches, table, written
+from .common import WordHashes, bitmap_of, drop_written, marked, ranges, table, written
 from .components import components
 
-#: Slots of the n-gram counts that the order goes by: so many bytes are broadcast for any corpus.
-SLOTS = 1 << 20
 SIGNATURE = 64
-#: Bits of the filter that says which sets a comparison needs.
-NEEDED_BITS = 24
+#: N-grams of a chunk, and bytes of text for each strip: what a task holds in memory while it counts.
+CHUNK, STRIP_BYTES = 1 << 21, 1 << 24
+#: Least and most bits of the filter that says which texts a comparison needs; in between 16 for each text.
+NEEDED_BITS = (16, 27)
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -50,124 +61,231 @@ def ngram_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams fall in each of SIGNATURE parts of the hash space."""
-    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE).astype(np.int32)
+def _fingerprint(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set: sums of two hashes of its members."""
+    return int(_mix(grams).sum(dtype=np.uint64).view(np.int64)), int(_mix(grams ^ _K[1]).sum(dtype=np.uint64).view(np.int64))
 
 
-def _sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc, size, f1, f2, slots, grams): rows are numbered in a written table, so numbers don't change."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, each in as many bytes a number as its largest needs, byte by byte, compressed."""
+    out = []
+    for x in columns:
+        x = np.ascontiguousarray(x, "<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out += [struct.pack("<IB", len(x), width), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(data):
+        n, width = struct.unpack_from("<IB", data, at)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(x.view("<u8").reshape(n))
+        at += 5 + n * width
+    return out
+
+
+def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_bits: int) -> DataFrame:
+    """Rows of three kinds: (doc, size, f1, f2) of each document; for each chunk of texts, with ``strip`` -1, which of the
+    chunk's n-grams each set has; and for each chunk and strip, the chunk's n-grams with the number of its sets."""
     import pyarrow as pa
     import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    target = docs.sparkSession.createDataFrame([], f"doc {kind}, size int, f1 bigint, f2 bigint, chunk bigint, strip int, data binary").schema
+    schema = to_arrow_schema(target)
+    shift = np.uint64(64 - bits)
+
+    def chunk_rows(number: int, sets: list[np.ndarray], marks: list[tuple[int, int]]):
+        slots, index, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        sizes = np.array([len(s) for s in sets])
+        steps = np.diff(index, prepend=0)
+        starts = np.cumsum(sizes) - sizes
+        steps[starts] = index[starts]
+        f = np.array(marks, np.int64).view(np.uint64)
+        data = [pack(sizes, f[:, 0], f[:, 1], steps, [len(slots)])]
+        own = (slots >> np.uint64(bits - strip_bits)).astype(np.int64)
+        strips = np.unique(own)
+        for s, lo, hi in zip(strips.tolist(), np.searchsorted(own, strips, "left").tolist(), np.searchsorted(own, strips, "right").tolist(), strict=True):
+            data.append(pack([lo], np.diff(slots[lo:hi], prepend=np.uint64(s << (bits - strip_bits))), times[lo:hi] - 1))
+        strips = pa.array([-1, *strips.tolist()], pa.int32())
+        nothing = [pa.nulls(len(data), t) for t in schema.types[:4]]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array([number] * len(data), pa.int64()), strips, pa.array(data, pa.binary())], schema=schema)
 
     def run(batches):
-        words_of = WordHashes()
+        words_of, seen = WordHashes(), set()
+        number = TaskContext.get().partitionId() << 32
+        sets: list[np.ndarray] = []
+        marks: list[tuple[int, int]] = []
+        total = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for part in ranges(pc.binary_length(texts).to_pylist(), 1_000_000):
-                own = [ngram_set(words_of(t), n) for t in texts[part].to_pylist()]
-                marks = [(int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(_mix(s ^ _K[1]).sum(dtype=np.uint64).view(np.int64))) for s in own]
-                yield pa.RecordBatch.from_arrays(
-                    [ids[part], pa.array([len(s) for s in own], pa.int32()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([_slots(s) for s in own], pa.list_(pa.int32())), pa.array([s.tobytes() for s in own], pa.binary())],
-                    names=["doc", "size", "f1", "f2", "slots", "grams"],
-                )
+                sizes, fs = [], []
+                for text in texts[part].to_pylist():
+                    own = ngram_set(words_of(text), n)
+                    sizes.append(len(own))
+                    fs.append(f := _fingerprint(own))
+                    if len(own) and f not in seen:
+                        seen.add(f)
+                        if total + len(own) > CHUNK and sets:
+                            yield chunk_rows(number, sets, marks)
+                            number, total, sets, marks = number + 1, 0, [], []
+                        sets.append(own >> shift)
+                        marks.append(f)
+                        total += len(own)
+                columns = [ids[part].cast(schema.types[0]), pa.array(sizes, pa.int32()), pa.array([a for a, _ in fs], pa.int64()), pa.array([b for _, b in fs], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), t) for t in schema.types[4:]]], schema=schema)
+        if sets:
+            yield chunk_rows(number, sets, marks)
+
+    return written(plain.mapInArrow(run, target), "sets")
+
+
+def _by_key(batches, key: int):
+    """Rows of one key after another, as lists of columns, from batches that are sorted by the column ``key``."""
+    import pyarrow as pa
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = plain.mapInArrow(run, f"doc {kind}, size int, f1 bigint, f2 bigint, slots array<int>, grams binary")
-    return written(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    held: list = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and lo < hi and held[-1].column(key)[0] != batch.column(key)[lo]:
+                yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
+                held = []
+            if lo < hi:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
+
+
+def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
+    """(gram, f1, f2, size, shared, rank) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
+    n-grams are such, ``rank`` of them come before this one in the order."""
+    import pyarrow as pa
 
+    def count(batches):
+        for chunks, _, parts in _by_key(batches, 1):
+            lows, slots, times = [], [], []
+            for data in parts:
+                low, steps, more = unpack(data)
+                lows.append(int(low[0]))
+                slots.append(np.cumsum(steps))
+                times.append(more + 1)
+            _, index = np.unique(np.concatenate(slots), return_inverse=True)
+            total = np.bincount(index, np.concatenate(times).astype(float)).astype(np.uint64)[index]
+            keys, out, at = [], [], 0
+            for chunk, low, own in zip(chunks, lows, slots, strict=True):
+                here = np.flatnonzero(total[at : at + len(own)] > 1)
+                if len(here):
+                    keys.append(chunk)
+                    out.append(pack(np.diff(here + low, prepend=0), np.diff(own[here], prepend=np.uint64(0)), total[at : at + len(own)][here]))
+                at += len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "strip", "data"])
 
-def _levels(sets: DataFrame, strips: int = 16) -> bytes:
-    """How frequent the n-grams of each slot are, in half powers of two: one byte a slot, counted over all rows."""
-    import pyarrow as pa
+    def choose(batches):
+        for _, kinds, parts in _by_key(batches, 0):
+            own = kinds.index(-1)
+            sizes, f1, f2, steps, (n_slots,) = unpack(parts[own])
+            total, slot = np.zeros(int(n_slots), np.int64), np.zeros(int(n_slots), np.uint64)
+            for k, data in enumerate(parts):
+                if k != own:
+                    index, slots, times = unpack(data)
+                    at = np.cumsum(index).astype(np.int64)
+                    total[at], slot[at] = times, np.cumsum(slots)
+            sizes = sizes.astype(np.int64)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            sums = np.cumsum(steps.astype(np.int64))
+            index = sums - np.repeat(sums[starts] - steps[starts].astype(np.int64), sizes)
+            grams, of, rank, shared = [], [], [], []
+            alike = total[index] > 0
+            before = np.concatenate([[0], np.cumsum(alike)])
+            n_shared = before[ends] - before[starts]
+            n_first = sizes + (-percent * sizes) // 100 + 1 - (sizes - n_shared)
+            for d in np.flatnonzero(n_first > 0).tolist():
+                mine = index[starts[d] : ends[d]][alike[starts[d] : ends[d]]]
+                first = np.lexsort((mine, total[mine]))[: n_first[d]]  # by count, then by slot
+                grams.append(slot[mine[first]].view(np.int64))
+                of.append(np.full(len(first), d))
+                rank.append(np.arange(len(first), dtype=np.int32))
+                shared.append(np.full(len(first), n_shared[d], np.int32))
+            if grams:
+                d = np.concatenate(of)
+                columns = [np.concatenate(grams), f1[d].view(np.int64), f2[d].view(np.int64), sizes[d].astype(np.int32), np.concatenate(shared), np.concatenate(rank)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "f1", "f2", "size", "shared", "rank"])
 
-    size = SLOTS // strips
+    parts = sets.where("strip is not null").select("chunk", "strip", "data")
+    answers = parts.where("strip >= 0").repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(count, "chunk bigint, strip int, data binary")
+    by_chunk = parts.where("strip < 0").unionByName(answers).repartition(strips, "chunk").sortWithinPartitions("chunk")
+    return by_chunk.mapInArrow(choose, "gram bigint, f1 bigint, f2 bigint, size int, shared int, rank int")
 
-    def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(data, np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        parts = [zlib.compress(total[i * size : (i + 1) * size].astype(np.uint32).tobytes(), 1) for i in range(strips)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(strips), pa.int32()), pa.array(parts, pa.binary())], names=["strip", "part"])
 
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for strip, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = totals.setdefault(strip, np.zeros(size, np.int64))
-                own += np.frombuffer(zlib.decompress(part), np.uint32)
-        for strip, own in totals.items():
-            level = np.floor(2 * np.log2(own + 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["strip", "part"])
-
-    rows = sets.select("grams").mapInArrow(count, "strip int, part binary").repartition(strips, "strip").mapInArrow(add, "strip int, part binary").collect()
-    out = np.zeros(SLOTS, np.uint8)
-    for r in rows:
-        out[r["strip"] * size : (r["strip"] + 1) * size] = np.frombuffer(bytes(r["part"]), np.uint8)
-    return zlib.compress(out.tobytes(), 1)
-
-
-def _prefixes(sets: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """(gram, row, size, pos) of every prefix entry. A task gives each class at most once, however many copies it reads."""
+def _node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, size, slots, grams) of every node: the texts that make them are read once more, and no others are cut up."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    shared = sets.sparkSession.sparkContext.broadcast(levels)
+    spark = docs.sparkSession
+    wanted = rows.join(nodes.select("f1", "f2"), ["f1", "f2"]).groupBy("f1", "f2").agg(F.min("doc").alias("doc")).select(F.xxhash64("doc").alias("h"))
+    bits = max(NEEDED_BITS[0], min(NEEDED_BITS[1], int(nodes.count() * 16).bit_length()))
+    needed = spark.sparkContext.broadcast(bitmap_of(wanted, bits))  # 2 ** NEEDED_BITS[1] bits at most
 
     def run(batches):
-        level, seen = np.frombuffer(zlib.decompress(shared.value), np.uint8), set()
+        words_of, marks, seen = WordHashes(), np.frombuffer(zlib.decompress(needed.value), np.uint8), set()
         for batch in batches:
-            grams, rows, sizes, places = [], [], [], []
-            for row, n, f1, f2, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if not n or (f1, f2) in seen:
-                    continue
-                seen.add((f1, f2))
-                s = np.frombuffer(data, np.uint64)
-                p = n - -(-percent * n // 100) + 1
-                rank = level[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                first = np.argsort(rank, kind="stable")[:p]  # by level, then by hash
-                grams.append(s[first].view(np.int64))
-                rows.append(np.full(p, row, np.int64))
-                sizes.append(np.full(p, n, np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, rows, sizes, places)], names=["gram", "row", "size", "pos"])
+            keep = pa.array(marked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), marks))
+            texts = batch.column(1).filter(keep)
+            for part in ranges(pc.binary_length(texts).to_pylist(), 1_000_000):
+                own = {}
+                for text in texts[part].to_pylist():
+                    grams = ngram_set(words_of(text), n)
+                    f = _fingerprint(grams)
+                    if len(grams) and f not in seen:
+                        seen.add(f)
+                        own[f] = grams
+                slots = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE) for s in own.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64()), pa.array(slots, pa.list_(pa.int32())), pa.array([s.tobytes() for s in own.values()], pa.binary())],
+                    names=["f1", "f2", "slots", "grams"],
+                )
 
-    return sets.select("row", "size", "f1", "f2", "grams").mapInArrow(run, "gram bigint, row bigint, size int, pos int")
+    hashed = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    made = hashed.mapInArrow(run, "f1 bigint, f2 bigint, slots array<int>, grams binary")
+    # copies in several tasks give one set several times
+    whole = nodes.join(made, ["f1", "f2"]).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "slots", "grams")])
+    return written(whole, "node-sets")
 
 
-def _worth(a: str, b: str, pos_a: str, pos_b: str, percent: int):
-    """Length and positional filter for sizes ``a`` <= ``b``: can enough be in common, given where the n-gram stands."""
-    least = F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
-    most = F.lit(1) + F.least(pos_a, pos_b) + F.least(F.col(a) - F.col(pos_a) - 1, F.col(b) - F.col(pos_b) - 1)
-    return (F.lit(100) * F.col(a) >= F.lit(percent) * F.col(b)) & (most >= least)
+def _worth(a: str, b: str, percent: int):
+    """Length and positional filter for entries ``a`` and ``b`` that meet: can enough be in common."""
+    size_a, size_b, shared_a, shared_b, rank_a, rank_b = (F.col(f"{x}.{c}") for c in ("size", "shared", "rank") for x in (a, b))
+    least = F.ceil(F.lit(percent) * (size_a + size_b) / F.lit(100 + percent))
+    most = F.least(rank_a, rank_b) + F.least(shared_a - rank_a, shared_b - rank_b)
+    return (F.lit(100) * F.least(size_a, size_b) >= F.lit(percent) * F.greatest(size_a, size_b)) & (most >= least)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of rows whose sets are similar enough. Only sets that a pair names are shuffled."""
-    import pyarrow as pa
+def _common_slots(a: str, b: str):
+    """Suffix filter: what two sets have in common is at most the sum of the lesser numbers of each slot."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
 
-    spark = sets.sparkSession
-    few = sets.select("row", "slots")
-    # suffix filter: what two sets have in common is at most the sum of the lesser numbers of each slot
-    met = pairs.join(few.select(F.col("row").alias("a"), F.col("slots").alias("sa")), "a").join(few.select(F.col("row").alias("b"), F.col("slots").alias("sb")), "b")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
-    common = total(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)))
-    hopeful = written(met.where(F.lit(100 + percent) * common >= F.lit(percent) * (total(F.col("sa")) + total(F.col("sb")))).select("a", "b"), "hopeful")
-    release(spark)
-    ends = hopeful.select(F.col("a").alias("row")).unionByName(hopeful.select(F.col("b").alias("row"))).distinct()
-    hashed = F.xxhash64("row")
-    needed = spark.sparkContext.broadcast(bitmap_of(ends.select(hashed.alias("h")), NEEDED_BITS))
 
-    def choose(batches):
-        marks = np.frombuffer(zlib.decompress(needed.value), np.uint8)
-        for batch in batches:
-            keep = marked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), marks)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[1:]], names=["row", "grams"])
+def _enough(common, size_a, size_b, percent: int):
+    return F.lit(100 + percent) * common >= F.lit(percent) * (size_a + size_b)
+
 
-    full = sets.select(hashed.alias("h"), "row", "grams").mapInArrow(choose, "row bigint, grams binary")
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets are similar enough."""
+    import pyarrow as pa
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.struct("size", "slots").alias(f"of_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    hopeful = written(met.where(_enough(_common_slots("of_a.slots", "of_b.slots"), F.col("of_a.size"), F.col("of_b.size"), percent)).select("a", "b"), "hopeful")
 
     def verify(batches):
         for batch in batches:
@@ -178,107 +296,118 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    whole = hopeful.join(full.select(F.col("row").alias("a"), F.col("grams").alias("ga")), "a").join(full.select(F.col("row").alias("b"), F.col("grams").alias("gb")), "b")
+    whole = hopeful.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     links = written(whole.select("a", "b", "ga", "gb").mapInArrow(verify, "a bigint, b bigint"), "links")
-    release(spark)
+    drop_written(hopeful)
     return links
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with their components, of meetings that still have several, each with its meeting's most ordinary entry."""
+    own = entries.join(found.select("node", F.col("component").alias("_c")), "node", "left").withColumn("component", F.coalesce("_c", "node"))
+    hub = F.min(F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("odd"), "node", "component", "size", "shared", "rank"))
+    meetings = own.groupBy("gram").agg(hub.alias("hub"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
+    return own.join(meetings.select("gram", "hub"), "gram").select("gram", "node", "component", "size", "shared", "rank", "hub")
+
+
+def _led(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the entries of open meetings with their meetings' most ordinary ones."""
+    met = entries.select(F.struct("node", "component", "size", "shared", "rank").alias("e"), "hub")
+    met = met.where((F.col("e.component") != F.col("hub.component")) & _worth("e", "hub", percent))
+    return met.select(F.least("e.node", "hub.node").alias("a"), F.greatest("e.node", "hub.node").alias("b")).distinct()
+
+
+def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entries of one meeting and different components that pass all filters."""
+    # the largest size that a partner can have; entries that no partner in their meeting fits go before any pair is made
+    reach = F.floor(F.col("shared") * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
+    own = entries.drop("hub").withColumn("reach", reach)
+    fits = own.groupBy("gram").agg(F.min("size").alias("_least"), F.max("reach").alias("_most"))
+    own = own.join(fits, "gram").where("reach >= _least and size <= _most").drop("_least", "_most", "reach").join(sets.select("node", "slots"), "node")
+    s, t = own.alias("s"), own.alias("t")
+    can = _worth("s", "t", percent) & _enough(_common_slots("s.slots", "t.slots"), F.col("s.size"), F.col("t.size"), percent)
+    pairs = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & (F.col("s.node") < F.col("t.node")) & can)
+    return pairs.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
+
+
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles`` and ``component_id``.
 
     Words are runs without ASCII white space, A-Z in lower case; two rows are linked when the Jaccard similarity of their
     sets of distinct n-grams is at least ``percent`` / 100. ``component_id`` is the least id among the rows that links
     lead to, the row's own included. Texts of fewer than ``n`` words are one n-gram; null texts and texts without a word
     have no set and are linked with nothing. Repeated rows have equal sets and so one component; a null id counts as an
-    id only where its component has no other. Other columns are never read. An empty table gives an empty one.
+    id only where its component has no other. Other columns are never read. An empty table gives an empty one. Tables
+    in between are deleted as soon as nothing reads them, but for three small ones that the result is read from.
     """
-    with small_batches(docs.sparkSession):  # sets are long rows; all steps that hand them to Python run in here
-        return _group(docs, id_col, text_col, n, percent)
-
-
-def _group(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    sets = _sets(docs, n, id_col, text_col)
-    rows = sets.select("row", "doc", "size", "f1", "f2")
-    # a class for each set of n-grams; its node is its first row. The minima are combined before the shuffle
-    classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("row").alias("node"), F.min("doc").alias("least"), F.count("*").alias("copies"))
-    classes = written(classes, "classes")
-    repeated = classes.where("copies > 1").select("f1", "f2", "size", "node")
-    copies = written(rows.join(repeated, ["f1", "f2", "size"]).where("row <> node").select("row", "node"), "copies")
-
-    prefixes = _prefixes(sets, _levels(sets), percent)
-    by_gram = Window.partitionBy("gram").orderBy("size", "row")
-    last = {c: F.lag(c).over(by_gram).alias(f"last_{c}") for c in ("row", "size", "pos")}
-    hub = F.min("row").over(Window.partitionBy("gram")).alias("hub")
-    lists = prefixes.select("gram", "row", "size", "pos", hub, *last.values(), F.lead("row").over(by_gram).alias("next"))
-    lists = written(lists.where("last_row is not null or next is not null").drop("next"), "lists")
-    release(docs.sparkSession)
-
-    def nodes(pairs: DataFrame) -> DataFrame:
-        """Pairs of rows as pairs of nodes, each once."""
-        for side in ("a", "b"):
-            own = copies.select(F.col("row").alias(side), F.col("node").alias("_node"))
-            pairs = pairs.join(own, side, "left").withColumn(side, F.coalesce("_node", side)).drop("_node")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # two partners for each row: the neighbour in most of its meetings, and the least row of any of them
-    worth = F.col("last_row").isNotNull() & _worth("last_size", "size", "last_pos", "pos", percent)
-    beside = lists.where(worth).groupBy("row", "last_row").agg(F.count("*").alias("n"))
-    beside = beside.groupBy("row").agg(F.max_by("last_row", F.struct("n", "last_row")).alias("b"))
-    hubs = lists.where("hub <> row").groupBy("row").agg(F.min("hub").alias("b"))
-    first = written(nodes(beside.unionByName(hubs).select(F.col("row").alias("a"), "b")), "pairs")
-    links = _compare(first, sets, percent)
-    found = written(components(links), "components")
-
-    def open_entries(found: DataFrame) -> DataFrame:
-        """Entries with their components, of meetings that still have several."""
-        linked = found.select(F.col("node").alias("_n"), "component")
-        moved = copies.join(linked, F.col("node") == F.col("_n"), "left").select("row", "node", F.coalesce("component", "node").alias("component"))
-        moved = moved.unionByName(linked.select(F.col("_n").alias("row"), F.col("_n").alias("node"), "component"))
-        label = lists.select("gram", "row", "size", "pos").join(written(moved, "moved"), "row", "left")
-        label = label.select("gram", "size", "pos", F.coalesce("node", "row").alias("node"), F.coalesce("component", "row").alias("component"))
-        meeting = Window.partitionBy("gram")
-        lead = F.min(F.struct("component", "node", "size", "pos")).over(meeting)
-        label = label.withColumns({"lead": lead, "_y": F.max("component").over(meeting)}).where("lead.component <> _y").drop("_y")
-        out = written(label.distinct(), "labels")
-        release(docs.sparkSession)
-        return out
-
-    # one of a meeting's leading component for each entry of another: as many pairs as such entries
-    entries = open_entries(found).where("lead.component <> component").withColumns({f"l_{c}": F.col(f"lead.{c}") for c in ("node", "size", "pos")})
-    can = _worth("size", "l_size", "pos", "l_pos", percent) | _worth("l_size", "size", "l_pos", "pos", percent)
-    led = entries.where(can).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-    led = written(led.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_compare(led, sets, percent))
-    found = written(components(links), "components")
-
-    # what is left: every pair across components
-    tested = first.unionByName(led)
-    left = open_entries(found).drop("lead")
-    s, t = left.alias("s"), left.alias("t")
-    ordered = (F.col("s.size") < F.col("t.size")) | ((F.col("s.size") == F.col("t.size")) & (F.col("s.node") < F.col("t.node")))
-    across = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & ordered & _worth("s.size", "t.size", "s.pos", "t.pos", percent))
-    across = across.select(F.least("s.node", "t.node").alias("a"), F.greatest("s.node", "t.node").alias("b")).distinct()
-    second = written(across.join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_compare(second, sets, percent))
-    found = written(components(links), "components")
-
-    # the least id of each component, then of each class, then of each row
-    class_of = classes.join(found.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select("f1", "f2", "size", "least", F.coalesce("component", "node").alias("component"))
-    ids = class_of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = written(class_of.join(ids, "component").select("f1", "f2", "size", "component_id"), "classes")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    bits, strip_bits = max(24, min(62, size.bit_length() + 4)), max(4, min(20, (size // STRIP_BYTES).bit_length()))
+    made = _sets(docs, n, id_col, text_col, bits, strip_bits)
+    rows = written(made.where("size is not null").select("doc", "size", "f1", "f2"), "rows")
+    entries = written(_prefixes(made, percent, 1 << strip_bits), "entries")
+    drop_written(made)
+
+    # a node for each set that meets another one
+    meetings = entries.groupBy("gram").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).where("lo <> hi").select("gram")
+    met = written(entries.join(meetings, "gram", "left_semi"), "met")
+    nodes = written(met.groupBy("f1", "f2").agg(F.first("size").alias("size")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop_written(entries)
+    entries = written(met.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("gram", "node", "size", "shared", "rank").distinct(), "entries")
+    drop_written(met)
+    sets = _node_sets(docs, rows, nodes, n, id_col, text_col)
+
+    found = nodes.select("node", F.col("node").alias("component")).limit(0)
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+    for step in (1, 2, 3):
+        left = written(_open(entries, found), "open")
+        if step == 1:
+            pairs = _led(left, percent)
+        elif step == 2:
+            # those outside the component of the most ordinary one, as meetings of their own
+            pairs = _led(_open(left.where("hub.component <> component").drop("hub", "component"), found), percent)
+        else:
+            pairs = _across(left, sets, percent)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = _compare(pairs, sets, percent)
+        links = good if links is None else links.unionByName(good)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if step > 1:
+            drop_written(found)
+        found = written(components(links), "components")
+        drop_written(left)
+    for done in (entries, sets, tested, links):
+        drop_written(done)
+
+    # the least id of each class, and of the classes of each component
+    classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("doc").alias("least"))
+    linked = found.join(nodes.select("node", "f1", "f2"), "node").select("f1", "f2", "component")
+    class_of = classes.join(linked, ["f1", "f2"], "left")
+    ids = class_of.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    of_class = written(class_of.join(ids, "component", "left").select("f1", "f2", "size", F.coalesce("first", "least").alias("component_id")), "classes")
+    drop_written(found)
+    drop_written(nodes)
     out = rows.join(of_class, ["f1", "f2", "size"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """``docs``, all columns, with one row of each component: the one of the least id; rows without id are all kept."""
-    keep = group(docs, id_col, text_col, n, percent).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the least id, and of several such any one. Null ids
+    come last, so a row without id stays only where its whole component has none. Rows without words are components of
+    their own and all stay."""
+    ids = docs.agg(F.count("*"), F.count(id_col), F.count_distinct(id_col)).first()
+    if ids[0] == ids[2]:
+        keep = group(docs, id_col, text_col, n, percent).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
+        return docs.join(keep, docs[id_col] == keep["_keep"], "left_semi")
+    # ids don't tell rows apart: the rows are written with a number
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row").alias("_key"), F.col(text_col).alias("_text"))
+    keep = group(keyed, "_key", "_text", n, percent).where("_key = component_id").select("_key._row")
+    return numbered.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return group(table(spark, sf_dir, "documents"))
+    return group(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 #: The same in DuckDB, by the definition: all pairs of texts that share an n-gram, then the links' transitive closure.

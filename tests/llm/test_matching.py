@@ -63,10 +63,22 @@ def test_near_duplicates(docs, seed, n, percent):
 
 def test_near_duplicates_of_nothing_and_null_ids(docs):
     assert near_duplicates.group(docs([])).count() == 0
-    rows = near_duplicates.group(docs(["a b c d e", "a b c d e", "x"], ids=[None, 7, None])).collect()
+    rows = near_duplicates.group(docs(["a b c d e", "a b c d e", "x"], ids=[None, 7, None]), n=4).collect()
     assert sorted((tuple(r) for r in rows), key=repr) == sorted([(None, 2, 7), (7, 2, 7), (None, 1, None)], key=repr)
 
 
+def test_one_row_of_each_group_is_kept(docs):
+    """Also where ids are null or repeated."""
+    table = docs(["a b c d e f", "a b c d e f", "q r s", "q r s", "x", None, None], ids=[1, 1, 1, None, None, None, 1])
+    kept = [(r["doc_id"], r["text"]) for r in near_duplicates.deduplicate(table).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "a b c d e f"), (1, "q r s"), (None, "x"), (None, None), (1, None)], key=repr)
+
+
+def test_packed_numbers():
+    columns = [np.array([0, 5, 1 << 40], np.uint64), np.zeros(0, np.uint64), np.array([255]), np.zeros(3, int), np.array([(1 << 64) - 1], np.uint64)]
+    assert [x.tolist() for x in near_duplicates.unpack(near_duplicates.pack(*columns))] == [x.tolist() for x in columns]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
