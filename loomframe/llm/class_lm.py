@@ -1,13 +1,23 @@
 """Class-based n-gram scoring: words in classes by exchange clustering, class transitions times word emissions.
 
-All counts cover all training texts. Words are counted in each task and once more after a shuffle by word. The commonest
-``units`` words are clustered; every other word belongs to a class that its form decides, so it needs no table. What a
-task needs to know of the corpus is then bounded - the commonest words, their classes and counts, the transition table -
-and is broadcast; the counts of all other words reach the documents through a join by word.
+All counts cover all training texts, and every training word that stands there twice or more gets its class from the
+classes of its neighbours:
+
+1. The commonest ``units`` words are clustered by exchange until none moves, on their full table of pairs.
+2. All common words, as many as one broadcast table may hold, are exchanged in rounds over the whole corpus: each task
+   counts, for every such word, the classes that stand before and after it; the sums decide, word by word and against
+   the class pairs of the round before, where the likelihood is greatest.
+3. Every other word that stands twice or more takes the class in which the likelihood of its neighbours is greatest;
+   these words are shuffled by word, with the classes beside each occurrence. Words that stand once form the rare class,
+   to which unseen words belong as well.
+
+What is broadcast is bounded: the common words with their counts and classes, and the class pairs. The counts and classes
+of all other words are a table of Spark's, and reach the documents through a join by word.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections import Counter
@@ -17,16 +27,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, written
+from .common import by_key, drop_written, fold, pack, ranges, table, unpack, written
 
 #: The token at the end of each text; no word has a space, so none is equal to it.
-END = " "
-#: Classes that the form of an uncommon word decides: by its length and its last byte.
-FORMS = 24
+END = b" "
 #: Words a task counts before it hands them on.
 COUNTED = 500_000
-#: The common words' table: this many words and their counts at most are broadcast.
+#: This many words, the commonest, are broadcast with their counts and classes, at most.
 COMMON = 1 << 17
+#: Most classes; there is one for the cube root of the number of distinct words up to that.
+CLASSES = 128
+#: What a pair of classes that was never seen counts as when classes are chosen.
+UNSEEN = 0.5
+STRIPS = 32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -34,8 +47,14 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def _form(word: bytes) -> int:
-    return min(len(word) // 4, 3) * (FORMS // 4) + word[-1] % (FORMS // 4)
+def _parts(batches, column: int = 0):
+    """Some megabytes of texts at a time, with the batch they are of and their place in it."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        texts = batch.column(column)
+        for part in ranges(pc.binary_length(texts).to_pylist()):
+            yield batch, part, texts[part].to_pylist()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -52,10 +71,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 part = keys[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8") for k in part], pa.string()), pa.array([counts[k] for k in part], pa.int64())], schema=schema)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for _, _, texts in _parts(batches):
+            for text in texts:
                 counts.update(tokens(text))
-                counts[END.encode()] += 1
+                counts[END] += 1
                 if len(counts) > COUNTED:
                     yield from hand_on()
                     counts.clear()
@@ -65,36 +84,46 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_matrix(docs: DataFrame, unit_of: dict[bytes, int], n_units: int, text_col: str = "text", strips: int = 32) -> np.ndarray:
-    """Counts of unit pairs over all texts, END before the first word and after the last.
+def _least_common(counts: DataFrame, common: int) -> int:
+    """The least count that at most ``common`` words reach, to the nearest twentieth of a factor: found from the number
+    of words in each such band, so only the words above it come to the driver."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.05)).cast("int")
+    bands = sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"])
+    total, least = 0, None
+    for r in bands:
+        total += r["count"]
+        if total > common:
+            break
+        least = r["b"]
+    return math.ceil(1.05**least - 1e-6) if least is not None else 1 << 62
 
-    A task adds up its own matrix and hands it on in strips; a strip is added up by one task. The whole is n_units ** 2
-    numbers for any corpus.
-    """
+
+# ---- the corpus as numbers of words ----------------------------------------------------------------------------------
+
+
+def numbered(docs: DataFrame, number_of: dict[bytes, int], text_col: str = "text") -> DataFrame:
+    """(data): the texts as numbers of common words, one number more for all others, END before the first and after each."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(unit_of)
-    cells = n_units * n_units
-    step = -(-cells // strips)
+    shared = docs.sparkSession.sparkContext.broadcast(number_of)
 
     def run(batches):
-        units, total = shared.value, np.zeros(cells, np.int64)
-        base = n_units - FORMS
-        end, get = units[END.encode()], units.get
-        for batch in batches:
+        get, other, end = shared.value.get, len(shared.value), shared.value[END]
+        for _, _, texts in _parts(batches):
             ids = [end]
-            for text in batch.column(0).to_pylist():
-                for w in tokens(text):
-                    u = get(w)
-                    ids.append(base + _form(w) if u is None else u)
+            for text in texts:
+                ids += [get(w, other) for w in tokens(text)]
                 ids.append(end)
-                if len(ids) > 1_000_000:
-                    total += _pairs(ids, n_units, cells)
-                    ids = [end]
-            total += _pairs(ids, n_units, cells)
-        parts = [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(strips)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(strips), pa.int32()), pa.array(parts, pa.binary())], names=["strip", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([pack(np.array(ids))], pa.binary())], names=["data"])
+
+    return written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "data binary"), "numbers")
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' arrays of ``size`` numbers, each handed on in strips (strip, part); a strip is added up by one task."""
+    import pyarrow as pa
+
+    step = -(-size // STRIPS)
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -105,21 +134,40 @@ def bigram_matrix(docs: DataFrame, unit_of: dict[bytes, int], n_units: int, text
         for strip, own in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["strip", "part"])
 
-    each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "strip int, part binary")
-    rows = each.repartition(strips, "strip").mapInArrow(add, "strip int, part binary").collect()
-    out = np.zeros(step * strips, np.int64)
-    for r in rows:
+    out = np.zeros(step * STRIPS, np.int64)
+    for r in parts.repartition(STRIPS, "strip").mapInArrow(add, "strip int, part binary").collect():
         own = np.frombuffer(zlib.decompress(bytes(r["part"])), np.int64)
         out[r["strip"] * step : r["strip"] * step + len(own)] += own
-    return out[:cells].reshape(n_units, n_units)
+    return out[:size]
+
+
+def _strips(total: np.ndarray):
+    import pyarrow as pa
+
+    step = -(-len(total) // STRIPS)
+    parts = [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(STRIPS)]
+    return pa.RecordBatch.from_arrays([pa.array(range(STRIPS), pa.int32()), pa.array(parts, pa.binary())], names=["strip", "part"])
+
+
+def pair_matrix(numbers: DataFrame, unit_of: np.ndarray, n: int) -> np.ndarray:
+    """Counts of pairs of neighbours, each word counted as its unit."""
+    shared = numbers.sparkSession.sparkContext.broadcast(unit_of)
+
+    def run(batches):
+        units, total = shared.value.astype(np.int64), np.zeros(n * n, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                u = units[unpack(data)[0].astype(np.int64)]
+                total += np.bincount(u[:-1] * n + u[1:], minlength=n * n)
+        yield _strips(total)
+
+    return _summed(numbers.mapInArrow(run, "strip int, part binary"), n * n).reshape(n, n)
 
 
-def _pairs(ids: list[int], n: int, cells: int) -> np.ndarray:
-    a = np.array(ids, np.int64)
-    return np.bincount(a[:-1] * n + a[1:], minlength=cells)
+# ---- classes ---------------------------------------------------------------------------------------------------------
 
 
-def exchange(pairs: np.ndarray, free: int, n_classes: int, rounds: int = 6) -> np.ndarray:
+def exchange(pairs: np.ndarray, free: int, n_classes: int, rounds: int = 100) -> np.ndarray:
     """Classes of the units by the exchange algorithm: the first ``free`` units, the commonest, each move to the class
     where the likelihood of the class pairs is greatest, in turn, until none moves; the other units stay by themselves.
 
@@ -171,90 +219,202 @@ def exchange(pairs: np.ndarray, free: int, n_classes: int, rounds: int = 6) -> n
     return cls
 
 
+def best_classes(before: np.ndarray, after: np.ndarray, times: np.ndarray, own: np.ndarray, M: np.ndarray) -> np.ndarray:
+    """The class of greatest likelihood for each word, from the numbers of each class before and after it (words by
+    classes), how often it stands, and its class so far (-1: none). ``M`` has the class pairs so far, which count the word
+    where it has a class; it is taken out of them for that class. Ties go to the class so far, else to the first."""
+    k = before.shape[1]
+    pairs, left, mass = M[:k, :k].astype(float), M[:k].sum(1).astype(float), M[:, :k].sum(0).astype(float)
+    log = np.log(pairs + UNSEEN)
+    follow, n = after.sum(1).astype(float), times.astype(float)
+    # each class is as heavy as with the word in it
+    worth = before @ log + after @ log.T
+    worth -= follow[:, None] * np.log(left[None] + follow[:, None] + UNSEEN) + n[:, None] * np.log(mass[None] + n[:, None] + UNSEEN)
+    at = np.flatnonzero(own >= 0)
+    if len(at):
+        c = own[at]
+        into, out = np.maximum(pairs[:, c].T - before[at], 0), np.maximum(pairs[c] - after[at], 0)
+        stay = (before[at] * np.log(into + UNSEEN)).sum(1) + (after[at] * np.log(out + UNSEEN)).sum(1)
+        stay -= follow[at] * np.log(left[c] + UNSEEN) + n[at] * np.log(mass[c] + UNSEEN)
+        worth[at, c] = stay + 1e-9
+    return worth.argmax(1)
+
+
+def _exchanged(numbers: DataFrame, class_of: np.ndarray, M: np.ndarray, k: int) -> np.ndarray:
+    """One round over all common words at once: their classes after it. ``class_of`` ends with what is none (k)."""
+    import pyarrow as pa
+
+    shared = numbers.sparkSession.sparkContext.broadcast((class_of, M))
+    m, width = len(class_of) - 1, 2 * (k + 1)
+    step = -(-m // STRIPS)
+
+    def count(batches):
+        classes, total = shared.value[0].astype(np.int64), np.zeros(m * width, np.int32)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                a = unpack(data)[0].astype(np.int64)
+                c = classes[a]
+                for words, at in ((a[1:], c[:-1]), (a[:-1], c[1:] + k + 1)):
+                    known = words < m
+                    np.add.at(total, words[known] * width + at[known], 1)
+        for s in range(STRIPS):
+            cells = np.flatnonzero(part := total[s * step * width : (s + 1) * step * width])
+            if len(cells):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(np.diff(cells, prepend=0), part[cells] - 1)], pa.binary())], names=["strip", "data"])
+
+    def decide(batches):
+        classes, pairs = shared.value
+        for (s, *_), parts in by_key(batches, 0):
+            n = min(step, m - s * step)
+            total = np.zeros(n * width, np.int64)
+            for data in parts:
+                steps, more = unpack(data)
+                total[np.cumsum(steps).astype(np.int64)] += more.astype(np.int64) + 1
+            total = total.reshape(n, 2, k + 1)
+            own = classes[s * step : s * step + n].astype(np.int64)
+            best = best_classes(total[:, 0, :k], total[:, 1, :k], total[:, 0].sum(1), np.where(own < k, own, -1), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(best)], pa.binary())], names=["strip", "data"])
+
+    out = class_of.copy()
+    rows = numbers.mapInArrow(count, "strip int, data binary").repartition(STRIPS, "strip").sortWithinPartitions("strip").mapInArrow(decide, "strip int, data binary").collect()
+    for r in rows:
+        best = unpack(bytes(r["data"]))[0]
+        out[r["strip"] * step : r["strip"] * step + len(best)] = best
+    return out
+
+
+def _tail(docs: DataFrame, classes: dict[bytes, int], M: np.ndarray, k: int, text_col: str) -> DataFrame:
+    """(word, n, class, places) of every word that isn't common: places are the pairs of classes before and after, as one
+    number (k for such a word), with how often; there are (k + 1) ** 2 at most. A word that stands once is of the rare
+    class, k."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast((classes, M))
+    width = k + 1
+
+    def look(batches):
+        get, end = shared.value[0].get, shared.value[0][END]
+        found: Counter = Counter()
+
+        def hand_on():
+            words = pa.array([w for w, _ in found], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array([x for _, x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "place", "n"])
+
+        for _, _, texts in _parts(batches):
+            for text in texts:
+                words = tokens(text)
+                own = [get(w, k) for w in words]
+                if k in own:
+                    own.append(end)  # also what stands before the first word, at -1
+                    found.update([(w, own[i - 1] * width + own[i + 1]) for i, w in enumerate(words) if own[i] == k])
+            if len(found) > COUNTED // 2:
+                yield hand_on()
+                found.clear()
+        yield hand_on()
+
+    def decide(batches):
+        pairs = shared.value[1]
+        for batch in batches:
+            words, lists = batch.column(0), batch.column(1)
+            of, flat, n = _flat(lists)
+            before = np.bincount(of * width + flat // width, n, len(words) * width).reshape(-1, width)
+            after = np.bincount(of * width + flat % width, n, len(words) * width).reshape(-1, width)
+            times = before.sum(1)
+            best = best_classes(before[:, :k], after[:, :k], times, np.full(len(words), -1), pairs)
+            yield pa.RecordBatch.from_arrays([words, pa.array(times.astype(np.int64)), pa.array(np.where(times > 1, best, k), pa.int32()), lists], names=["word", "n", "class", "places"])
+
+    each = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(look, "word string, place int, n bigint")
+    # tasks have added up their own; one shuffle by word serves both sums
+    places = each.repartition("word").groupBy("word", "place").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("places"))
+    return written(places.mapInArrow(decide, "word string, n bigint, class int, places array<struct<place:int,n:bigint>>"), "tail")
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow column of lists of (place, n): the row of each, its place, its number."""
+    of, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+    return of, flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+
+
+def _tail_pairs(tail: DataFrame, k: int) -> np.ndarray:
+    """Class pairs that the tail's words are part of, with common words beside them."""
+    width = k + 1
+
+    def run(batches):
+        total = np.zeros(width * width, np.int64)
+        for batch in batches:
+            of, flat, n = _flat(batch.column(1))
+            own, left, right = batch.column(0).to_numpy().astype(np.int64)[of], flat // width, flat % width
+            for a, b, known in ((left, own, left < k), (own, right, right < k)):
+                total += np.bincount((a * width + b)[known], n[known], width * width).astype(np.int64)
+        yield _strips(total)
+
+    return _summed(tail.select("class", "places").mapInArrow(run, "strip int, part binary"), width * width).reshape(width, width)
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """``unit_of`` and ``class_of`` place the clustered words; ``step`` is log10 P(class | class before); ``room`` is the
-    logarithm's divisor of emissions in each class; ``total`` and ``distinct`` are N and V. ``counts`` is the table
-    (word, n) of all words, kept by Spark."""
+    """``common`` has the count and class of each common word; ``tail`` is the table (word, n, class) of all others.
+    ``step`` is log10 P(class | class before), ``room`` the logarithm of the divisor of emissions in each class; the rare
+    class is the last. ``total`` and ``distinct`` are N and V."""
 
-    unit_of: dict
-    class_of: np.ndarray
+    common: dict[bytes, tuple[int, int]]
+    tail: DataFrame
     step: np.ndarray
     room: np.ndarray
     total: int
     distinct: int
     delta: float
-    common: dict
-    counts: DataFrame
 
 
-def fit(train: DataFrame, text_col: str = "text", units: int = 1000, n_classes: int = 64, delta: float = 0.5, common: int = COMMON) -> ClassModel:
+def fit(train: DataFrame, text_col: str = "text", units: int = 1000, n_classes: int | None = None, delta: float = 0.5, common: int = COMMON, rounds: int = 2) -> ClassModel:
     """Count, cluster and smooth. Transitions are interpolated with the classes' shares (Witten-Bell), emissions get
-    ``delta`` for each word of the class and for one unseen word. ``units`` and ``common`` bound what is broadcast."""
+    ``delta`` for each word of the class, and in the rare class for one unseen word. ``common`` bounds what is broadcast;
+    ``units`` is how many words the driver clusters first, ``rounds`` how often all common words are exchanged after that.
+    ``n_classes``: the cube root of the number of distinct words, CLASSES at most. Two neighbours that both aren't common
+    count as a pair of the rare class. Null texts count as empty; an empty table gives a model that has seen nothing."""
     counts = written(word_counts(train, text_col), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
+    end = counts.where(F.col("word") == END.decode()).select("n").first()
     least = _least_common(counts, common)
-    top = sorted(counts.where((F.col("word") != END) & (F.col("n") >= least)).collect(), key=lambda r: (-r["n"], r["word"]))
-    end = counts.where(F.col("word") == END).select("n").first()
-    known = {END.encode(): int(end[0]) if end else 0} | {r["word"].encode(): r["n"] for r in top}
-    free = [END.encode(), *(r["word"].encode() for r in top[: units - 1])]
-    unit_of = {w: i for i, w in enumerate(free)}
-    n_units = len(free) + FORMS
-    pairs = bigram_matrix(train, unit_of, n_units, text_col)
-    classes = exchange(pairs, len(free), n_classes)
-    k = int(classes.max()) + 1
-    M = np.zeros((k, k))
-    np.add.at(M, (classes[:, None], classes[None, :]), pairs)
-    right = M.sum(0)
-    share = (right + 1) / (right.sum() + k)
+    top = sorted(counts.where((F.col("word") != END.decode()) & (F.col("n") >= least)).collect(), key=lambda r: (-r["n"], r["word"]))
+    times = {END: int(end[0]) if end else 0} | {r["word"].encode(): int(r["n"]) for r in top}
+    drop_written(counts)
+    m = len(times)
+    number_of = {w: i for i, w in enumerate(times)}
+    numbers = numbered(train, number_of, text_col)
+
+    free = min(units, m)
+    wanted = n_classes or min(CLASSES, max(2, round(distinct ** (1 / 3))))
+    core = exchange(pair_matrix(numbers, np.minimum(np.arange(m + 1), free), free + 1), free, wanted)[:free]
+    k = int(core.max()) + 1
+    class_of = np.full(m + 1, k, np.int16)
+    class_of[:free] = core
+    M = pair_matrix(numbers, class_of, k + 1)
+    for _ in range(rounds):
+        new = _exchanged(numbers, class_of, M, k)
+        if (new == class_of).all():
+            break
+        class_of, M = new, pair_matrix(numbers, new, k + 1)
+    drop_written(numbers)
+    classes = {w: int(class_of[i]) for w, i in number_of.items()}
+    tail = _tail(train, classes, M, k, text_col)
+    both = M[k, k]
+    M[k] = M[:, k] = 0
+    M[k, k] = both
+    M = M + _tail_pairs(tail, k)
+
+    words, mass = np.bincount(class_of[:m], minlength=k + 1).astype(float), np.bincount(class_of[:m], list(times.values()), k + 1)
+    for r in tail.groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
+        words[r["class"]] += r["v"]
+        mass[r["class"]] += r["n"]
+    words[k] += 1  # unseen words
+    right, left = M.sum(0), M.sum(1)[:, None]
+    share = (right + 1) / (right.sum() + k + 1)
     kinds = (M > 0).sum(1)[:, None]
-    left = M.sum(1)[:, None]
     step = np.where(left > 0, (M + kinds * share[None]) / np.maximum(left + kinds, 1e-300), share[None])
-    # emissions: words of a class and how often they stand in all
-    words = np.bincount(classes[: len(free)], minlength=k).astype(float)
-    mass = np.zeros(k)
-    for i, w in enumerate(free):
-        mass[classes[i]] += known[w]
-    for r in _form_sums(counts, unit_of):
-        c = classes[len(free) + r["form"]]
-        words[c] += r["v"]
-        mass[c] += r["n"]
-    room = np.log10(mass + delta * (words + 1))
-    return ClassModel(unit_of, classes, np.log10(step), room, total, distinct, delta, known, counts)
-
-
-def _least_common(counts: DataFrame, common: int) -> int:
-    """The least count that at most ``common`` words reach, to the nearest twentieth of a factor: found from the number
-    of words in each such band, so only the words above it come to the driver."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.05)).cast("int")
-    bands = sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r["b"])
-    total, least = 0, None
-    for r in bands:
-        total += r["count"]
-        if total > common:
-            break
-        least = r["b"]
-    return math.ceil(1.05**least - 1e-6) if least is not None else 1 << 62
-
-
-def _form_sums(counts: DataFrame, unit_of: dict) -> list:
-    """Words and their sum for each form, of the words that aren't clustered."""
-    import pyarrow as pa
-
-    shared = counts.sparkSession.sparkContext.broadcast(set(unit_of))
-
-    def run(batches):
-        skip, v, n = shared.value, np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = word.encode()
-                if w not in skip:
-                    v[(f := _form(w))] += 1
-                    n[f] += c
-        yield pa.RecordBatch.from_arrays([pa.array(range(FORMS), pa.int32()), pa.array(v), pa.array(n)], names=["form", "v", "n"])
-
-    return counts.select("word", "n").mapInArrow(run, "form int, v bigint, n bigint").groupBy("form").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+    room = np.log10(np.maximum(mass + delta * words, 1e-300))
+    return ClassModel({w: (n, classes[w]) for w, n in times.items()}, tail.select("word", "n", "class"), np.log10(step), room, total, distinct, delta)
 
 
 def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,77 +422,82 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
 
     ``score`` is log10 of the model's probability of the text and its end, ``perplexity`` 10 ** (-score / n_tokens),
     ``base_score`` the same sum for single words with one added to each count. A first pass sums what the broadcast
-    tables know and hands on the other words, each once a text with its number; these are joined with the counts by word
-    and summed. Null texts count as empty: one token, the end. Rows are told apart by their place, so repeated ids and
-    repeated rows each give their own row; other columns are never read. A model of no texts gives each word a share of
-    one unseen word.
+    tables know and hands on the other words with the classes beside them, and pairs of such words; these are joined with
+    the table of all other words and summed. Null texts count as empty: one token, the end. Rows are told apart by their
+    place, so repeated ids and repeated rows each give their own row; other columns are never read. A model of no texts
+    gives each word a share of one unseen word.
     """
     spark = docs.sparkSession
-    first, room, delta = len(model.unit_of), model.room, model.delta
-
-    def unit(w: bytes) -> int:
-        u = model.unit_of.get(w)
-        return int(model.class_of[first + _form(w) if u is None else u])
-
+    k = len(model.room) - 1
     # of each common word: class, log10(c + 1) and log10 of its emission
-    facts = {w: (k := unit(w), math.log10(c + 1), math.log10(c + delta) - float(room[k])) for w, c in model.common.items()}
-    forms = [(int(k), float(room[k])) for k in model.class_of[first:]]
-    end_known = int(model.common[END.encode()] > 0)
+    facts = {w: (c, math.log10(n + 1), math.log10(n + model.delta) - float(model.room[c])) for w, (n, c) in model.common.items()}
+    end_known = int(model.common[END][0] > 0)
     base_log = math.log10(model.total + model.distinct + 1)
-    shared = spark.sparkContext.broadcast((facts, forms, model.step))
+    shared = spark.sparkContext.broadcast((facts, model.step))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:string,tf:int>>"
+    schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, open array<struct<word:string,left:int,right:int,tf:int>>, near array<struct<a:string,b:string,tf:int>>"
 
     def run(batches):
         import pyarrow as pa
 
-        own, forms, step = shared.value
-        end = own[END.encode()]
-        rare_struct = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))
-        for batch in batches:
-            n_tokens, n_known, base, model_score, rare = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+        own, step = shared.value
+        end = own[END]
+        open_type = pa.list_(pa.struct([("word", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("tf", pa.int32())]))
+        near_type = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32())]))
+        for batch, part, texts in _parts(batches, 1):
+            n_tokens, n_known, base, model_score, opens, nears = [], [], [], [], [], []
+            for text in texts:
                 words = tokens(text)
-                facts = [own.get(w) for w in words]
-                if None in facts:
-                    unknown = Counter(w for w, f in zip(words, facts, strict=True) if f is None)
-                    path = [forms[_form(w)][0] if f is None else f[0] for w, f in zip(words, facts, strict=True)]
-                    facts = [f for f in facts if f is not None]
-                else:
-                    unknown, path = {}, [f[0] for f in facts]
+                found = [own.get(w) for w in words]
+                path = [-1 if f is None else f[0] for f in found]
+                known = [f for f in found if f is not None]
+                open_words, near_words = Counter(), Counter()
+                if len(known) < len(found):
+                    path.append(end[0])  # also what stands before the first word, at -1
+                    for i, f in enumerate(found):
+                        if f is None:
+                            open_words[words[i], path[i - 1], path[i + 1]] += 1
+                            if path[i + 1] < 0:
+                                near_words[words[i], words[i + 1]] += 1
+                    path.pop()
                 steps = np.array([end[0], *path, end[0]], np.int64)
+                a, b = steps[:-1], steps[1:]
+                both = (a >= 0) & (b >= 0)
                 n = len(words) + 1
                 n_tokens.append(n)
-                n_known.append(len(facts) + end_known)
-                base.append(math.fsum(f[1] for f in facts) + end[1] - n * base_log)
-                # for the words to look up, all but the logarithm of their count is known here
-                absent = sum(c * forms[_form(w)][1] for w, c in unknown.items())
-                model_score.append(float(step[steps[:-1], steps[1:]].sum()) + math.fsum(f[2] for f in facts) + end[2] - absent)
-                rare.append([{"word": w.decode("utf-8"), "tf": c} for w, c in unknown.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model_score, pa.float64()), pa.array(rare, rare_struct)],
-                names=["id", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
+                n_known.append(len(known) + end_known)
+                base.append(math.fsum(f[1] for f in known) + end[1] - n * base_log)
+                model_score.append(float(step[a[both], b[both]].sum()) + math.fsum(f[2] for f in known) + end[2])
+                opens.append([{"word": w.decode("utf-8"), "left": x, "right": y, "tf": c} for (w, x, y), c in open_words.items()])
+                nears.append([{"a": x.decode("utf-8"), "b": y.decode("utf-8"), "tf": c} for (x, y), c in near_words.items()])
+            columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model_score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns, pa.array(opens, open_type), pa.array(nears, near_type)], names=["id", "n_tokens", "n_known", "base_score", "score", "open", "near"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the table is written once: rows get their number from files that stay as they are
     first_pass = written(plain.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm")
-    rare = first_pass.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-    looked_up = (
-        rare.join(model.counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_base"),
-            F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + model.delta)).alias("more_score"),
-        )
+    numbers = lambda x: F.from_json(F.lit(json.dumps([float(v) for v in np.ravel(x)])), "array<double>")  # noqa: E731  a constant of the plan
+    step, room, width = numbers(model.step), numbers(model.room), F.lit(k + 1)
+    step_of = lambda a, b: F.get(step, (a * width + b).cast("int"))
+    zero, nothing = F.lit(0.0), F.lit(0)
+    n, c, tf = F.coalesce("n", nothing), F.coalesce("class", F.lit(k)), F.col("tf")
+    opened = first_pass.select("row", F.explode("open").alias("x")).select("row", "x.word", "x.left", "x.right", "x.tf").join(model.tail, "word", "left")
+    beside = F.when(F.col("left") >= 0, step_of(F.col("left"), c)).otherwise(zero) + F.when(F.col("right") >= 0, step_of(c, F.col("right"))).otherwise(zero)
+    opened = opened.select(
+        "row",
+        F.when(n > 0, tf).otherwise(nothing).cast("bigint").alias("more_known"),
+        (tf * F.log10(n + 1)).alias("more_base"),
+        (tf * (F.log10(n + F.lit(model.delta)) - F.get(room, c) + beside)).alias("more_score"),
     )
-    zero = F.lit(0.0)
-    whole = first_pass.drop("rare").join(looked_up, "row", "left")
+    of = lambda x: model.tail.select(F.col("word").alias(x), F.col("class").alias(f"c_{x}"))
+    near = first_pass.select("row", F.explode("near").alias("x")).select("row", "x.a", "x.b", "x.tf").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    near = near.select("row", nothing.cast("bigint").alias("more_known"), zero.alias("more_base"), (tf * step_of(F.coalesce("c_a", F.lit(k)), F.coalesce("c_b", F.lit(k)))).alias("more_score"))
+    looked_up = opened.unionByName(near).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
+    whole = first_pass.drop("open", "near").join(looked_up, "row", "left")
     found = whole.select(
         F.col("id").alias(id_col),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", nothing)).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", zero)).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
@@ -345,4 +510,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = fit(docs.where(fold("doc_id", 7) != 2))
     scored = score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
-

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import struct
 import tempfile
 import uuid
 import zlib
-from contextlib import contextmanager
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,25 +59,6 @@ def _remember(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Python gets so many rows at a time from what runs inside the block."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished jobs now: it does so when the driver's JVM collects what refers to them,
-    which a driver with little to do would put off for long while the executors' disks stay full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and nothing reads any more."""
     spark = df.sparkSession
@@ -161,6 +142,45 @@ def ranges(sizes: list, most: int = 2_000_000):
         yield slice(start, len(sizes))
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, each in as many bytes a number as its largest needs, byte by byte, compressed."""
+    out = []
+    for x in columns:
+        x = np.ascontiguousarray(x, "<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        out += [struct.pack("<IB", len(x), width), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(data):
+        n, width = struct.unpack_from("<IB", data, at)
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        out.append(x.view("<u8").reshape(n))
+        at += 5 + n * width
+    return out
+
+
+def by_key(batches, key: int):
+    """Rows of one key after another, as lists of columns, from batches that are sorted by the column ``key``."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and lo < hi and held[-1].column(key)[0] != batch.column(key)[lo]:
+                yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
+                held = []
+            if lo < hi:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
+
+
 class WordHashes:
     """64-bit hashes of words, remembered up to a number. A-Z count as lower case, with ``all_cases`` every letter of
     Unicode (case folding, which is lower case but for a few letters like sharp s)."""

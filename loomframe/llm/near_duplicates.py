@@ -22,16 +22,14 @@ comparison, never keep it from there. Comparisons are of 64-bit hashes.
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, drop_written, marked, ranges, table, written
+from .common import WordHashes, bitmap_of, by_key, drop_written, marked, pack, ranges, table, unpack, written
 from .components import components
 
 SIGNATURE = 64
@@ -66,27 +64,6 @@ def _fingerprint(grams: np.ndarray) -> tuple[int, int]:
     return int(_mix(grams).sum(dtype=np.uint64).view(np.int64)), int(_mix(grams ^ _K[1]).sum(dtype=np.uint64).view(np.int64))
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Arrays of numbers from 0 on, each in as many bytes a number as its largest needs, byte by byte, compressed."""
-    out = []
-    for x in columns:
-        x = np.ascontiguousarray(x, "<u8")
-        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-        out += [struct.pack("<IB", len(x), width), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(data):
-        n, width = struct.unpack_from("<IB", data, at)
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
-        out.append(x.view("<u8").reshape(n))
-        at += 5 + n * width
-    return out
-
-
 def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_bits: int) -> DataFrame:
     """Rows of three kinds: (doc, size, f1, f2) of each document; for each chunk of texts, with ``strip`` -1, which of the
     chunk's n-grams each set has; and for each chunk and strip, the chunk's n-grams with the number of its sets."""
@@ -146,31 +123,13 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
     return written(plain.mapInArrow(run, target), "sets")
 
 
-def _by_key(batches, key: int):
-    """Rows of one key after another, as lists of columns, from batches that are sorted by the column ``key``."""
-    import pyarrow as pa
-
-    held: list = []
-    for batch in batches:
-        values = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and lo < hi and held[-1].column(key)[0] != batch.column(key)[lo]:
-                yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
-                held = []
-            if lo < hi:
-                held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield [c.to_pylist() for c in pa.Table.from_batches(held).columns]
-
-
 def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
     """(gram, f1, f2, size, shared, rank) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
     n-grams are such, ``rank`` of them come before this one in the order."""
     import pyarrow as pa
 
     def count(batches):
-        for chunks, _, parts in _by_key(batches, 1):
+        for chunks, _, parts in by_key(batches, 1):
             lows, slots, times = [], [], []
             for data in parts:
                 low, steps, more = unpack(data)
@@ -189,7 +148,7 @@ def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "strip", "data"])
 
     def choose(batches):
-        for _, kinds, parts in _by_key(batches, 0):
+        for _, kinds, parts in by_key(batches, 0):
             own = kinds.index(-1)
             sizes, f1, f2, steps, (n_slots,) = unpack(parts[own])
             total, slot = np.zeros(int(n_slots), np.int64), np.zeros(int(n_slots), np.uint64)

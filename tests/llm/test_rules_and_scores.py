@@ -156,6 +156,47 @@ def test_language_model(docs):
         assert r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"]))
 
 
+def test_class_model_against_brute_force(docs):
+    """Every word that stands twice has a class, counts are the corpus's, and scores are sums over the path of classes."""
+    rnd = random.Random(8)
+    texts = [*EDGES, *[" ".join(rnd.choices(["the", "a", "cat", "dog", "sat", "ran", *("x%d" % rnd.randrange(60) for _ in range(4))], k=rnd.randint(1, 30))) for _ in range(80)]]
+    table = docs(texts)
+    model = class_lm.fit(table.where("doc_id % 4 <> 0"), units=6, n_classes=4, common=9)
+    tail = {r["word"].encode(): (r["n"], r["class"]) for r in model.tail.collect()}
+    split = lambda t: [*((t or "").encode().lower().split()), b" "]
+    counts = collections.Counter(w for i, t in enumerate(texts) if i % 4 for w in split(t))
+    assert {w: n for w, (n, _) in [*model.common.items(), *tail.items()]} == counts and len(tail) > 10
+    rare = len(model.room) - 1
+    assert all((c == rare) == (n == 1) for n, c in tail.values()) and all(c < rare for _, c in model.common.values())
+    of = lambda w: model.common.get(w) or tail.get(w) or (0, rare)
+    words, mass = collections.Counter({rare: 1}), collections.Counter()
+    for w, n in counts.items():
+        words[of(w)[1]] += 1
+        mass[of(w)[1]] += n
+    for c in words:
+        assert math.isclose(model.room[c], math.log10(mass[c] + 0.5 * words[c]))
+    assert np.allclose((10**model.step).sum(1), 1)
+    got = {r["doc_id"]: r["score"] for r in class_lm.score(table, model).collect()}
+    for i, t in enumerate(texts):
+        path, want = of(b" ")[1], 0.0
+        for w in split(t):
+            n, c = of(w)
+            want += model.step[path, c] + math.log10(n + 0.5) - model.room[c]
+            path = c
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_best_class_is_that_of_like_words():
+    """Against all classes in turn: the log-likelihood of a word's neighbours with the word in that class."""
+    rng = np.random.default_rng(3)
+    M = rng.poisson(30, (4, 4))
+    before, after = rng.poisson(2, (50, 3)), rng.poisson(2, (50, 3))
+    n = before.sum(1) + 1
+    for w, c in enumerate(class_lm.best_classes(before, after, n, np.full(50, -1), M)):
+        worth = [sum(before[w, x] * math.log(M[x, y] + 0.5) + after[w, x] * math.log(M[y, x] + 0.5) for x in range(3)) - after[w].sum() * math.log(M[y].sum() + after[w].sum() + 0.5) - n[w] * math.log(M[:, y].sum() + n[w] + 0.5) for y in range(3)]
+        assert math.isclose(worth[c], max(worth))
+
+
 def test_model_of_nothing(docs):
     table = docs(EDGES)
     rows = class_lm.score(table, class_lm.fit(table.limit(0))).collect()
