@@ -222,6 +222,41 @@ def test_field_adds_what_is_like_what_it_knows(field):
         assert personal_data.all_spans(clean, field) == ([], [])
 
 
+def test_field_finds_what_patterns_miss_in_a_table(docs, field):
+    """Spans that no pattern matches: rewritten forms, numbers that a pattern swallowed, and parts named again."""
+    planted = {
+        "write to u7(at)mail.example.com please": ["u7(at)mail.example.com"],
+        "call +1 (988) 555-2485 190.137.223.204 now": ["+1 (988) 555-2485"],
+        "dial (988) 555-2485 now": ["(988) 555-2485"],
+        "it is 4041.8949.7460.8795 then": ["4041.8949.7460.8795"],
+        "from 97[.]51[.]17[.]173 again": ["97[.]51[.]17[.]173"],
+        "card 4041894974608795 was used, as said 8795 and so on": ["8795"],
+        "as said 8795 and so on": [],
+        "version 3.0 of 2024. see 12-14 there": [],
+    }
+    rows = personal_data.find(docs(list(planted)), field).collect()
+    added = {t: [t[s["start"] : s["end"]] for s in r["spans"] if s not in r["base"]] for r, t in zip(sorted(rows, key=lambda r: r["doc_id"]), planted, strict=True)}
+    assert added == planted
+
+
+def test_skip_messages_change_labels(field):
+    """The part of a number is personal data only because of the whole number elsewhere; the weights were learned."""
+    text = "card 4041894974608795 was used, as said 8795 and so on"
+    assert field.skip["part"] > 1 and field.skip["same"] > 1
+    without = personal_data.FieldModel(field.weights, field.chain, dict.fromkeys(field.skip, 0.0))
+    assert len(personal_data.all_spans(text, field)[1]) == 2 and len(personal_data.all_spans(text, without)[1]) == 1
+
+
+def test_variants_keep_their_labels():
+    rnd = random.Random(1)
+    text = "a u1@mail.example.com b +1 (988) 555-2485 c 4041894974608795 d 1.2.3.4 e"
+    spans = personal_data.pattern_spans(text)
+    for _ in range(50):
+        new, labels = personal_data.variant(text, spans, rnd)
+        assert labels == sorted(labels) and len(labels) >= 4 and all(re.search("[0-9]|at|@", new[s:e]) for s, e, _ in labels)
+        assert re.sub(r"\s", "", new).startswith("a")
+
+
 def test_message_passing_is_exact_on_chains(field):
     import itertools
 
