@@ -1,10 +1,12 @@
 """Quality rules: text statistics in Spark expressions, and a decision list learned from labelled statistics.
 
-The list is learned by sequential covering. A rule is a conjunction of threshold tests; it is grown test by test on two
-thirds of the labelled rows, by information gain, and then pruned from its end on the other third. Rows that a finished
-rule covers are set aside and the next rule is grown on the rest. All that learning needs to know of the labelled rows
-is counts of labels by statistic and bin, which one aggregation gives whatever the number of rows; the finished list is
-a chain of CASE WHEN expressions.
+The list is learned by sequential covering from the labelled rows that pass the base rule. A rule is a conjunction of
+threshold tests; it is grown test by test on two thirds of the rows, by information gain, and then pruned from its end on
+the other third. It enters the list if that makes the description of the labels shorter (bits for its tests and for the
+exceptions to it); if not, the next one begins with another statistic. Rows that a finished rule covers are set aside.
+All that learning needs to know of the labelled rows is counts of labels by statistic and bin, which one aggregation
+gives whatever the number of rows; the finished list is a chain of CASE WHEN expressions. Nothing depends on how rows are
+partitioned.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import SPACE, drop_written, table, written
 
 WINDOW = 5
+#: Bins of a statistic x are parts of log(1 + STEPS[0] * x), STEPS[1] of them for each unit.
+STEPS = (1000.0, 25.0)
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -149,19 +153,36 @@ def _covered(rows: DataFrame, done: list[Rule], tests: tuple[Test, ...]) -> Data
     return rows.where(Rule(tests, 0.0).column(own)) if tests else rows
 
 
-def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[list[int]]]:
-    """Counts [bad, good] in each bin of each statistic, from one aggregation with a result of fixed size."""
-    each = F.array(*[F.struct(F.lit(k).alias("f"), F.expr(_bin(k, c)).alias("b")) for k, c in cuts.items()])
+def _grid(name: str) -> Column:
+    """The bin of a statistic from 0 on: finer near 0, about 4 % wide further up, some 250 for all that occur."""
+    return F.floor(F.log1p(F.col(name) * STEPS[0]) * STEPS[1]).cast("int")
+
+
+def _edge(b: int) -> float:
+    return math.expm1(b / STEPS[1]) / STEPS[0]
+
+
+def _histogram(rows: DataFrame) -> dict[str, dict[int, list[int]]]:
+    """Counts [bad, good] in each bin of each statistic, from one aggregation with a result of bounded size."""
+    each = F.array(*[F.struct(F.lit(k).alias("f"), _grid(k).alias("b")) for k in features()])
     counts = rows.select(F.explode(each).alias("x"), "label").groupBy("x.f", "x.b").agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 0).otherwise(1)).alias("good")).collect()
-    out = {k: [[0, 0] for _ in range(len(c) + 1)] for k, c in cuts.items()}
+    out: dict[str, dict[int, list[int]]] = {k: {} for k in features()}
     for r in counts:
         out[r["f"]][r["b"]] = [int(r["bad"]), int(r["good"])]
     return out
 
 
-def _bin(name: str, cuts: list[float]) -> str:
-    """SQL for the number of cuts that the statistic reaches; 0 at worst, len(cuts) at best."""
-    return f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), c -> {name} >= c))" if cuts else "0"
+def _tests(bars: dict[int, list[int]]):
+    """(threshold, bad below, good below) halfway between each two neighbouring bins that have rows."""
+    bins, bad, good = sorted(bars), 0, 0
+    for a, b in zip(bins, bins[1:], strict=False):
+        bad, good = bad + bars[a][0], good + bars[a][1]
+        yield (_edge(a + 1) + _edge(b)) / 2, bad, good
+
+
+def _bits(n: int, k: int) -> float:
+    """Bits that say which k of n rows are exceptions."""
+    return (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
 
 
 def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
@@ -171,40 +192,39 @@ def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
     return bad * (math.log2((bad + 1) / (bad + good + 2)) - math.log2((bad0 + 1) / (bad0 + good0 + 2)))
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", bins: int = 24, max_rules: int = 8, max_tests: int = 3, least_rows: int = 8, least_precision: float = 0.9) -> DecisionList:
+def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rules: int = 8, max_tests: int = 3, tries: int = 3, least_precision: float = 0.75) -> DecisionList:
     """A decision list for label 0 from ``stats`` (as ``statistics`` gives them) and ``labels``.
 
-    All labelled rows count. A rule enters only if it covers ``least_rows`` rows kept for pruning with at least
-    ``least_precision`` of them labelled 0; the first one that doesn't ends the list. Null labels and ids teach nothing;
-    without label 0, or without labels, the list is empty and keeps everything.
+    All labelled rows that pass the base rule count. A rule enters if it shortens the description of the labels and is
+    right for ``least_precision`` of the rows it wasn't grown on; after ``tries`` rules in a row that aren't, the list ends.
+    Null labels and ids teach nothing; without label 0, or without labels, the list is empty and keeps everything.
     """
     of = features()
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    joined = stats.join(own, stats[id_col] == own["_id"]).select("label", *[c.alias(k) for k, c in of.items()], (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).alias("prune"))
+    joined = stats.where(~base_failed()).join(own, stats[id_col] == own["_id"]).select("label", *[c.alias(k) for k, c in of.items()], (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).alias("prune"))
     rows = written(joined, "labelled")
     grow, prune = rows.where(~F.col("prune")), rows.where("prune")
-    spans = rows.where("label = 0").select(*of).approxQuantile(list(of), [i / bins for i in range(1, bins)], 0.005) if rows.where("label = 0").limit(1).count() else []
-    if not spans:
-        return DecisionList(())
-    others = rows.where("label <> 0").select(*of).approxQuantile(list(of), [i / bins for i in range(1, bins)] + [0.98, 0.995, 1.0], 0.002)
-    cuts = {k: sorted({float(x) for x in [*a, *b]}) for k, a, b in zip(of, spans, others or [[]] * len(of), strict=True)}
+    plain = {k: F.col(k) for k in of}
 
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    refused: list[str] = []
+    while len(rules) < max_rules and len(refused) < tries:
         tests: tuple[Test, ...] = ()
+        choices = 1
         while len(tests) < max_tests:
-            h = _histogram(_covered(grow, rules, tests), cuts)
-            first = next(iter(h.values()))
+            h = _histogram(_covered(grow, rules, tests))
+            first = list(next(iter(h.values())).values())
             bad0, good0 = sum(x[0] for x in first), sum(x[1] for x in first)
             if not bad0 or not good0:
                 break
             best, test = 1e-9, None
+            choices = max(choices, sum(2 * max(0, len(bars) - 1) for bars in h.values()))
             for k, bars in h.items():
-                bad = good = 0
-                for i, cut in enumerate(cuts[k]):
-                    bad, good = bad + bars[i][0], good + bars[i][1]
+                if not tests and k in refused:
+                    continue
+                for cut, bad, good in _tests(bars):
                     for at_least, b, g in ((False, bad, good), (True, bad0 - bad, good0 - good)):
-                        if b >= least_rows and (v := _gain(b, g, bad0, good0)) > best:
+                        if (v := _gain(b, g, bad0, good0)) > best:
                             best, test = v, Test(k, at_least, cut)
             if test is None:
                 break
@@ -212,15 +232,21 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         if not tests:
             break
         # the shortest beginning of the rule that is worth most on rows it wasn't grown on
-        tried = _covered(prune, rules, ())
-        plain = {k: F.col(k) for k in of}
-        counts = tried.agg(*[F.coalesce(F.sum(F.when(Rule(tests[: n + 1], 0.0).column(plain) & (F.col("label") == v if v == 0 else F.col("label") != 0), 1)), F.lit(0)).alias(f"c{n}_{v}") for n in range(len(tests)) for v in (0, 1)]).first()
-        worth = [((counts[f"c{n}_0"] - counts[f"c{n}_1"]) / max(1, counts[f"c{n}_0"] + counts[f"c{n}_1"]), n) for n in range(len(tests))]
+        hit = lambda n, v: F.coalesce(F.sum(F.when(Rule(tests[: n + 1], 0.0).column(plain) & (F.col("label") == v if v == 0 else F.col("label") != 0), 1)), F.lit(0))  # noqa: E731, B023
+        counts = {r["prune"]: r for r in _covered(rows, rules, ()).groupBy("prune").agg(*[hit(n, v).alias(f"c{n}_{v}") for n in range(len(tests)) for v in (0, 1)], F.sum((F.col("label") == 0).cast("int")).alias("bad"), F.count("*").alias("all")).collect()}
+        count = lambda key, parts=(False, True): sum(int(counts[p][key]) for p in parts if p in counts)  # noqa: E731, B023
+        worth = [((count(f"c{n}_0", (True,)) - count(f"c{n}_1", (True,))) / max(1, count(f"c{n}_0", (True,)) + count(f"c{n}_1", (True,))), n) for n in range(len(tests))]
         n = max(worth, key=lambda x: (round(x[0], 3), -x[1]))[1]
-        bad, good = counts[f"c{n}_0"], counts[f"c{n}_1"]
-        if bad + good < max(1, least_rows // 2) or bad < least_precision * (bad + good):
-            break
-        rules.append(Rule(tests[: n + 1], bad / (bad + good)))
+        bad, good = count(f"c{n}_0"), count(f"c{n}_1")
+        without = _bits(count("all"), count("bad"))
+        with_it = _bits(bad + good, good) + _bits(count("all") - bad - good, count("bad") - bad) + (n + 1) * math.log2(choices + 1)
+        seen = count(f"c{n}_0", (True,)) + count(f"c{n}_1", (True,))
+        if with_it < without and bad > good and count(f"c{n}_0", (True,)) >= least_precision * seen:
+            rules.append(Rule(tests[: n + 1], count(f"c{n}_0", (True,)) / seen if seen else bad / (bad + good)))
+            refused = []
+        else:
+            refused.append(tests[0].feature)
+    drop_written(rows)
     return DecisionList(tuple(rules))
 
 

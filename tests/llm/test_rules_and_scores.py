@@ -115,6 +115,23 @@ def test_language_edges(spark):
     assert got == [(1, "xx"), (1, "xx"), (2, "yy"), (3, "und"), (4, "und"), (5, "und")]
 
 
+def test_learned_rules_on_held_out_rows(spark):
+    """The list isn't empty, and most of what it rejects beyond the base rule is labelled so, among rows it hasn't seen."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no sample tables")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    unseen = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"
+    stats = quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet"))
+    rules = quality_rules.learn(stats, labels.where(f"not {unseen}"))
+    assert rules.rules
+    rows = quality_rules.judge(stats, rules).where("not base_failed").join(labels.where(unseen), "doc_id").select("rule", "quality").collect()
+    hit = [r["quality"] == 0 for r in rows if r["rule"]]
+    assert sum(hit) >= 0.9 * len(hit) and sum(hit) >= 0.8 * sum(r["quality"] == 0 for r in rows) > 3
+
+
 def held_out(scored, labels, fold):
     own = {r["doc_id"]: r for r in scored.where("held_out").collect()}
     assert all(zlib.crc32(str(i).encode()) % fold[0] == fold[1] for i in own)
