@@ -307,12 +307,37 @@ SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties":
         ('{"a": NaN}', None, "$: not JSON"),
         ('{"a": 1, "a": 2}', None, "$: a key stands twice"),
         (None, None, "$: no arguments"),
+        ('{"d": "\\ud800", "a": 1}', None, "$: not JSON"),
+        ('{"a": 100000000000000000000000000}', '{"a":1e+26}', ""),
+        ('{"a": 1' + "0" * 400 + "}", None, "$: not JSON"),
     ],
 )
 def test_arguments(arguments, text, problem):
     assert tool_calls.checked("add", arguments, SCHEMAS) == (text, problem)
 
 
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 3], [2]),
+        ({"oneOf": [{"minimum": 3}, {"multipleOf": 2}]}, [2, 5], [4, 1]),
+        ({"allOf": [{"minimum": 3}, {"not": {"const": 4}}]}, [3, 5], [4, 2]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 2}, [1.5], [1, 2]),
+        ({"multipleOf": 0.1}, [0.3, 7], [0.35]),
+        ({"uniqueItems": True, "prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1], []], [["a", 1, 1.0], [1], ["a", "b"]]),
+        ({"$ref": "#/$defs/tree", "$defs": {"tree": {"properties": {"sub": {"$ref": "#/$defs/tree"}, "n": {"type": "integer"}}}}}, [{"sub": {"n": 1}}], [{"sub": {"sub": {"n": "x"}}}]),
+        ({"patternProperties": {"^x": {"type": "null"}}, "additionalProperties": {"type": "string"}, "maxProperties": 2}, [{"x1": None, "y": "a"}], [{"x1": 1}, {"y": 1}, {"a": "", "b": "", "c": ""}]),
+        ({"pattern": "("}, [1], ["a"]),
+        ({"$ref": "#/none"}, [], [1]),
+        (False, [], [1]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    assert [tool_calls.problems(v, schema) for v in good] == [[] for _ in good]
+    assert all(tool_calls.problems(v, schema) for v in bad)
+    assert tool_calls.checked("loop", "1", {"loop": {"$ref": "#"}})[1] == "$: the schema refers to itself without end"
+
+
 def test_canonical_json():
     assert tool_calls.canonical({"\u20ac": 1, "\r": 2, "\ufb33": 3, "1": 4, "\U0001f600": 5, "\x80": 6, "ö": 7}) == '{"\\r":2,"1":4,"\x80":6,"ö":7,"\u20ac":1,"\U0001f600":5,"\ufb33":3}'
     numbers = {333333333.33333329: "333333333.3333333", 1e30: "1e+30", 4.5: "4.5", 2e-3: "0.002", 1e-27: "1e-27", -0.0: "0", 1e21: "1e+21", 1e20: "100000000000000000000", 1e-6: "0.000001", 1e-7: "1e-7"}
@@ -331,8 +356,10 @@ def brute_order(calls):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_order(spark, seed):
+@pytest.mark.parametrize("seed, local", [(0, 10_000), (1, 10_000), (2, 0)])
+def test_order(spark, seed, local, monkeypatch):
+    """By tasks in memory, and in rounds."""
+    monkeypatch.setattr(tool_calls, "LOCAL", local)
     rnd = random.Random(seed)
     rows, plain = [], collections.defaultdict(list)
     for conv in range(12):
