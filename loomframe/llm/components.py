@@ -22,7 +22,9 @@ def components(links: DataFrame) -> DataFrame:
     edge, to the least node of its component. The number of rounds grows with the logarithm of the components' size.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    # the sums tell whether the set of edges is as it was
+    state = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,8 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         drop_written(edges)
         drop_written(large)
         edges = new
-        # the sums tell whether the set of edges is as it was
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+        now = state(edges)
         if now == before:
             break
         before = now

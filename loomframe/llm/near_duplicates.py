@@ -23,6 +23,8 @@ comparison, never keep it from there. Comparisons are of 64-bit hashes.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
+from itertools import count
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,7 +36,7 @@ from .components import components
 
 SIGNATURE = 64
 #: N-grams of a chunk, and bytes of text for each strip: what a task holds in memory while it counts.
-CHUNK, STRIP_BYTES = 1 << 21, 1 << 24
+CHUNK, STRIP_BYTES = 1 << 20, 1 << 23
 #: Least and most bits of the filter that says which texts a comparison needs; in between 16 for each text.
 NEEDED_BITS = (16, 27)
 
@@ -64,9 +66,15 @@ def _fingerprint(grams: np.ndarray) -> tuple[int, int]:
     return int(_mix(grams).sum(dtype=np.uint64).view(np.int64)), int(_mix(grams ^ _K[1]).sum(dtype=np.uint64).view(np.int64))
 
 
+def _node(f1: np.ndarray, f2: np.ndarray, salt: int) -> np.ndarray:
+    """One number for a set from its fingerprint."""
+    return _mix(f1 ^ _mix(f2 + np.uint64(salt))).view(np.int64)
+
+
 def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_bits: int) -> DataFrame:
-    """Rows of three kinds: (doc, size, f1, f2) of each document; for each chunk of texts, with ``strip`` -1, which of the
-    chunk's n-grams each set has; and for each chunk and strip, the chunk's n-grams with the number of its sets."""
+    """Rows of three kinds: (doc, size, f1, f2) of each document, with the chunk that has its set if it is the first of its
+    task; for each chunk of texts, with ``strip`` -1, which of the chunk's n-grams each set has; and for each chunk and
+    strip, the chunk's n-grams with the number of its sets."""
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -102,11 +110,12 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for part in ranges(pc.binary_length(texts).to_pylist(), 1_000_000):
-                sizes, fs = [], []
+                sizes, fs, chunks = [], [], []
                 for text in texts[part].to_pylist():
                     own = ngram_set(words_of(text), n)
                     sizes.append(len(own))
                     fs.append(f := _fingerprint(own))
+                    chunks.append(None)
                     if len(own) and f not in seen:
                         seen.add(f)
                         if total + len(own) > CHUNK and sets:
@@ -115,20 +124,22 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
                         sets.append(own >> shift)
                         marks.append(f)
                         total += len(own)
-                columns = [ids[part].cast(schema.types[0]), pa.array(sizes, pa.int32()), pa.array([a for a, _ in fs], pa.int64()), pa.array([b for _, b in fs], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), t) for t in schema.types[4:]]], schema=schema)
+                        chunks[-1] = number
+                columns = [ids[part].cast(schema.types[0]), pa.array(sizes, pa.int32()), pa.array([a for a, _ in fs], pa.int64()), pa.array([b for _, b in fs], pa.int64()), pa.array(chunks, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), t) for t in schema.types[5:]]], schema=schema)
         if sets:
             yield chunk_rows(number, sets, marks)
 
     return written(plain.mapInArrow(run, target), "sets")
 
 
-def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
-    """(gram, f1, f2, size, shared, rank) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
-    n-grams are such, ``rank`` of them come before this one in the order."""
+def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, strips: int, salt: int) -> DataFrame:
+    """(gram, node, size, shared, rank) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
+    n-grams are such, ``rank`` of them come before this one in the order. Of a set that several chunks have, one chunk
+    gives the entries."""
     import pyarrow as pa
 
-    def count(batches):
+    def add(batches):
         for chunks, _, parts in by_key(batches, 1):
             lows, slots, times = [], [], []
             for data in parts:
@@ -148,12 +159,14 @@ def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "strip", "data"])
 
     def choose(batches):
-        for _, kinds, parts in by_key(batches, 0):
+        for _, kinds, parts, skip_1, skip_2 in by_key(batches, 0):
             own = kinds.index(-1)
+            elsewhere = {(x, y) for k, x, y in zip(kinds, skip_1, skip_2, strict=True) if k == -2}
             sizes, f1, f2, steps, (n_slots,) = unpack(parts[own])
+            node = _node(f1, f2, salt)
             total, slot = np.zeros(int(n_slots), np.int64), np.zeros(int(n_slots), np.uint64)
             for k, data in enumerate(parts):
-                if k != own:
+                if kinds[k] >= 0:
                     index, slots, times = unpack(data)
                     at = np.cumsum(index).astype(np.int64)
                     total[at], slot[at] = times, np.cumsum(slots)
@@ -167,7 +180,10 @@ def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
             before = np.concatenate([[0], np.cumsum(alike)])
             n_shared = before[ends] - before[starts]
             n_first = sizes + (-percent * sizes) // 100 + 1 - (sizes - n_shared)
+            of_1, of_2 = f1.view(np.int64).tolist(), f2.view(np.int64).tolist()
             for d in np.flatnonzero(n_first > 0).tolist():
+                if (of_1[d], of_2[d]) in elsewhere:
+                    continue
                 mine = index[starts[d] : ends[d]][alike[starts[d] : ends[d]]]
                 first = np.lexsort((mine, total[mine]))[: n_first[d]]  # by count, then by slot
                 grams.append(slot[mine[first]].view(np.int64))
@@ -176,22 +192,41 @@ def _prefixes(sets: DataFrame, percent: int, strips: int) -> DataFrame:
                 shared.append(np.full(len(first), n_shared[d], np.int32))
             if grams:
                 d = np.concatenate(of)
-                columns = [np.concatenate(grams), f1[d].view(np.int64), f2[d].view(np.int64), sizes[d].astype(np.int32), np.concatenate(shared), np.concatenate(rank)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "f1", "f2", "size", "shared", "rank"])
+                columns = [np.concatenate(grams), node[d], sizes[d].astype(np.int32), np.concatenate(shared), np.concatenate(rank)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "size", "shared", "rank"])
 
     parts = sets.where("strip is not null").select("chunk", "strip", "data")
-    answers = parts.where("strip >= 0").repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(count, "chunk bigint, strip int, data binary")
-    by_chunk = parts.where("strip < 0").unionByName(answers).repartition(strips, "chunk").sortWithinPartitions("chunk")
-    return by_chunk.mapInArrow(choose, "gram bigint, f1 bigint, f2 bigint, size int, shared int, rank int")
+    answers = parts.where("strip >= 0").repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(add, "chunk bigint, strip int, data binary")
+    # sets that stand in several chunks: all but one of these leave them out
+    stands = rows.where("chunk is not null").select("f1", "f2", "chunk")
+    several = stands.groupBy("f1", "f2").agg(F.min("chunk").alias("own"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "own")
+    elsewhere = stands.join(several, ["f1", "f2"]).where("chunk <> own").select("chunk", F.lit(-2).alias("strip"), F.lit(None).cast("binary").alias("data"), "f1", "f2")
+    by_chunk = parts.where("strip < 0").unionByName(answers).unionByName(elsewhere, allowMissingColumns=True)
+    return by_chunk.repartition(strips, "chunk").sortWithinPartitions("chunk").mapInArrow(choose, "gram bigint, node bigint, size int, shared int, rank int")
+
+
+def _nodes(rows: DataFrame, entries: DataFrame, salt: int) -> DataFrame:
+    """(node, f1, f2, doc) of every set that has an entry in a meeting, with one document that it is of."""
+    import pyarrow as pa
+
+    def number(batches):
+        for batch in batches:
+            f1, f2 = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_node(f1, f2, salt)), *batch.columns], names=["node", "f1", "f2", "doc"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    numbers = rows.where("size > 0").select("f1", "f2", "doc").mapInArrow(number, f"node bigint, f1 bigint, f2 bigint, doc {kind}")
+    own = numbers.join(entries.select("node").distinct(), "node", "left_semi")
+    return written(own.groupBy("node", "f1", "f2").agg(F.min("doc").alias("doc")), "nodes")
 
 
-def _node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def _node_sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str, salt: int) -> DataFrame:
     """(node, size, slots, grams) of every node: the texts that make them are read once more, and no others are cut up."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     spark = docs.sparkSession
-    wanted = rows.join(nodes.select("f1", "f2"), ["f1", "f2"]).groupBy("f1", "f2").agg(F.min("doc").alias("doc")).select(F.xxhash64("doc").alias("h"))
+    wanted = nodes.select(F.xxhash64("doc").alias("h"))
     bits = max(NEEDED_BITS[0], min(NEEDED_BITS[1], int(nodes.count() * 16).bit_length()))
     needed = spark.sparkContext.broadcast(bitmap_of(wanted, bits))  # 2 ** NEEDED_BITS[1] bits at most
 
@@ -208,17 +243,18 @@ def _node_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, id_co
                     if len(grams) and f not in seen:
                         seen.add(f)
                         own[f] = grams
-                slots = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE) for s in own.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64()), pa.array(slots, pa.list_(pa.int32())), pa.array([s.tobytes() for s in own.values()], pa.binary())],
-                    names=["f1", "f2", "slots", "grams"],
-                )
+                if own:
+                    f = np.array(list(own), np.int64).view(np.uint64)
+                    slots = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE) for s in own.values()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_node(f[:, 0], f[:, 1], salt)), pa.array([len(s) for s in own.values()], pa.int32()), pa.array(slots, pa.list_(pa.int32())), pa.array([s.tobytes() for s in own.values()], pa.binary())],
+                        names=["node", "size", "slots", "grams"],
+                    )
 
     hashed = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    made = hashed.mapInArrow(run, "f1 bigint, f2 bigint, slots array<int>, grams binary")
+    made = hashed.mapInArrow(run, "node bigint, size int, slots array<int>, grams binary").join(nodes.select("node"), "node", "left_semi")
     # copies in several tasks give one set several times
-    whole = nodes.join(made, ["f1", "f2"]).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "slots", "grams")])
-    return written(whole, "node-sets")
+    return written(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "slots", "grams")]), "node-sets")
 
 
 def _worth(a: str, b: str, percent: int):
@@ -261,9 +297,11 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries with their components, of meetings that still have several, each with its meeting's most ordinary entry."""
-    own = entries.join(found.select("node", F.col("component").alias("_c")), "node", "left").withColumn("component", F.coalesce("_c", "node"))
+def _open(entries: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Entries with their components, of meetings that have several, each with its meeting's most ordinary entry."""
+    own = entries.withColumn("component", F.col("node"))
+    if found is not None:
+        own = entries.join(found.select("node", F.col("component").alias("_c")), "node", "left").withColumn("component", F.coalesce("_c", "node"))
     hub = F.min(F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("odd"), "node", "component", "size", "shared", "rank"))
     meetings = own.groupBy("gram").agg(hub.alias("hub"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
     return own.join(meetings.select("gram", "hub"), "gram").select("gram", "node", "component", "size", "shared", "rank", "hub")
@@ -297,29 +335,30 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     lead to, the row's own included. Texts of fewer than ``n`` words are one n-gram; null texts and texts without a word
     have no set and are linked with nothing. Repeated rows have equal sets and so one component; a null id counts as an
     id only where its component has no other. Other columns are never read. An empty table gives an empty one. Tables
-    in between are deleted as soon as nothing reads them, but for three small ones that the result is read from.
+    in between are deleted as soon as nothing reads them, but for two small ones that the result is read from.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     bits, strip_bits = max(24, min(62, size.bit_length() + 4)), max(4, min(20, (size // STRIP_BYTES).bit_length()))
     made = _sets(docs, n, id_col, text_col, bits, strip_bits)
-    rows = written(made.where("size is not null").select("doc", "size", "f1", "f2"), "rows")
-    entries = written(_prefixes(made, percent, 1 << strip_bits), "entries")
+    rows = written(made.where("size is not null").select("doc", "size", "f1", "f2", "chunk"), "rows")
+    for salt in count(1):
+        entries = written(_prefixes(made, rows, percent, 1 << strip_bits, salt), "entries")
+        left = written(_open(entries), "open")
+        drop_written(entries)
+        nodes = _nodes(rows, left, salt)
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            break
+        drop_written(left)  # two sets have one number: other numbers
+        drop_written(nodes)
     drop_written(made)
+    sets = _node_sets(docs, nodes, n, id_col, text_col, salt)
 
-    # a node for each set that meets another one
-    meetings = entries.groupBy("gram").agg(F.min(F.struct("f1", "f2")).alias("lo"), F.max(F.struct("f1", "f2")).alias("hi")).where("lo <> hi").select("gram")
-    met = written(entries.join(meetings, "gram", "left_semi"), "met")
-    nodes = written(met.groupBy("f1", "f2").agg(F.first("size").alias("size")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    drop_written(entries)
-    entries = written(met.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("gram", "node", "size", "shared", "rank").distinct(), "entries")
-    drop_written(met)
-    sets = _node_sets(docs, rows, nodes, n, id_col, text_col)
-
-    found = nodes.select("node", F.col("node").alias("component")).limit(0)
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
+    found = None
+    links, tested = [], []
     for step in (1, 2, 3):
-        left = written(_open(entries, found), "open")
+        if step > 1:  # meetings only close
+            left, last = written(_open(left.drop("component", "hub"), found), "open"), left
+            drop_written(last)
         if step == 1:
             pairs = _led(left, percent)
         elif step == 2:
@@ -327,24 +366,27 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             pairs = _led(_open(left.where("hub.component <> component").drop("hub", "component"), found), percent)
         else:
             pairs = _across(left, sets, percent)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = _compare(pairs, sets, percent)
-        links = good if links is None else links.unionByName(good)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if step > 1:
-            drop_written(found)
-        found = written(components(links), "components")
-        drop_written(left)
-    for done in (entries, sets, tested, links):
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tested.append(written(pairs, "pairs"))
+        links.append(_compare(tested[-1], sets, percent))
+        if not links[-1].isEmpty():
+            if found is not None:
+                drop_written(found)
+            found = components(reduce(DataFrame.unionByName, links))
+    for done in (left, sets, *tested, *links):
         drop_written(done)
 
     # the least id of each class, and of the classes of each component
     classes = rows.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("doc").alias("least"))
-    linked = found.join(nodes.select("node", "f1", "f2"), "node").select("f1", "f2", "component")
-    class_of = classes.join(linked, ["f1", "f2"], "left")
-    ids = class_of.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
-    of_class = written(class_of.join(ids, "component", "left").select("f1", "f2", "size", F.coalesce("first", "least").alias("component_id")), "classes")
-    drop_written(found)
+    if found is None:
+        of_class = written(classes.withColumnRenamed("least", "component_id"), "classes")
+    else:
+        linked = found.join(nodes.select("node", "f1", "f2"), "node").select("f1", "f2", "component")
+        class_of = classes.join(linked, ["f1", "f2"], "left")
+        ids = class_of.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+        of_class = written(class_of.join(ids, "component", "left").select("f1", "f2", "size", F.coalesce("first", "least").alias("component_id")), "classes")
+        drop_written(found)
     drop_written(nodes)
     out = rows.join(of_class, ["f1", "f2", "size"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
