@@ -29,11 +29,14 @@ def fold(key: str | Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one is made up only where none is set, as in tests."""
+    """The folder that all executors see. Only where all executors are one process (``local[..]``, as in tests) a local
+    folder is made up if none is set; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not root:
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
         os.makedirs(root, exist_ok=True)
@@ -69,7 +72,8 @@ def drop_written(df: DataFrame) -> None:
 
 
 def labelled_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> list:
-    """About ``per_class`` rows of each value of ``by`` (never more), chosen by a hash of ``doc_id``.
+    """About ``per_class`` rows of each value of ``by`` (never more), chosen by a hash of ``doc_id``; of rows with one id
+    and value, one with the least of each other column.
 
     One count per class and one filter by the resulting rates, so nothing is sorted or gathered but the sample itself.
     """
@@ -78,7 +82,9 @@ def labelled_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> l
         return []
     rates = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * per_class / c)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = df.where(F.col(by).isNotNull() & (draw < rates[F.col(by)])).collect()
+    drawn = df.where(F.col(by).isNotNull() & (draw < rates[F.col(by)])).groupBy("doc_id", by)
+    others = [F.min(c).alias(c) for c in df.columns if c not in ("doc_id", by)]
+    rows = (drawn.agg(*others) if others else drawn.count()).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
     kept, seen = [], dict.fromkeys(counts, 0)
     for r in rows:
@@ -88,16 +94,19 @@ def labelled_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> l
     return kept
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, text_col: str = "text") -> list:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, text_col: str = "text", id_col: str = "doc_id") -> list:
     """Rows (doc_id, text, label) of at most ``per_class`` labels of each value: the ids are drawn from the labels alone,
-    and only those few are broadcast to the texts, so no text is shuffled."""
+    and only those few are broadcast to the texts, so no text is shuffled but theirs. Of texts with one id the least
+    counts; an id with several labels counts for each."""
     spark = docs.sparkSession
-    drawn = labelled_sample(labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("label")), "label", per_class)
+    drawn = labelled_sample(labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")), "label", per_class)
     if not drawn:
         return []
-    ids = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in drawn], "doc_id bigint, label int")
-    rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").collect()
-    return sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
+    kind = labels.schema[id_col].dataType.simpleString()
+    ids = spark.createDataFrame([(r["doc_id"], r["label"]) for r in drawn], f"doc_id {kind}, label int")  # 2 * per_class rows
+    own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))
 
 
 def label_counts(labels: DataFrame, label_col: str) -> dict:

@@ -186,9 +186,16 @@ def best_overlap(words: np.ndarray, item: np.ndarray, diagonals, identity: float
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs``, all columns, without the documents that overlap with a benchmark item."""
-    hit = find(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    """``docs``, all columns, without the rows that overlap with a benchmark item; ids may be null or repeated, each row
+    counts for itself."""
+    ids = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if ids[0] == ids[1]:
+        hit = find(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
+        return docs.join(hit, docs[id_col] == hit["_hit"], "left_anti")
+    # ids don't tell rows apart: the rows are written with a number
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    hit = find(numbered, benchmark, "_row", **options).select("_row").distinct()
+    return numbered.join(hit, "_row", "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

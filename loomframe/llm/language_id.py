@@ -18,26 +18,31 @@ UNKNOWN = "und"
 class LanguageModel:
     """``languages`` in falling order of frequency (so ties go to the commoner), and a set of dictionaries for each.
 
-    ``shards`` are the dictionaries of a language; texts under ``short`` bytes are sized under all of them, longer ones
-    under the first. Each dictionary has at most ``dictionary_bytes``.
+    ``shards`` are the dictionaries of a language; every text is sized under all of them. Each has at most
+    ``dictionary_bytes``.
     """
 
     languages: tuple[str, ...]
     shards: tuple[tuple[bytes, ...], ...]
-    short: int = 256
     block: int = 4096
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1200, n_shards: int = 4, dictionary_bytes: int = 65536) -> LanguageModel:
-    """Build the dictionaries from at most ``per_language`` rows of each non-null ``lang_col``.
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1200, n_shards: int = 2, dictionary_bytes: int = 65536, most_languages: int = 200) -> LanguageModel:
+    """Build the dictionaries from at most ``per_language`` rows of each non-null ``lang_col``; each of these texts gives
+    a piece. Work and memory are in proportion to the languages, so more than ``most_languages`` are refused (ValueError).
 
-    Rows without text or language teach nothing. No rows: a model without languages, which answers ``und``.
+    Rows without text or language teach nothing; of rows with one id and language, one does. No rows: a model without
+    languages, which answers ``und``.
     """
-    rows = labelled_sample(train.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "lang", per_language)
+    named = train.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().limit(most_languages + 1).collect()
+    if len(named) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    own = train.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled_sample(own, "lang", per_language)
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(letters_only(r["text"]))
-    counts = {r[0]: r[1] for r in train.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in named}
     languages = tuple(sorted(texts, key=lambda k: (-counts[k], k)))
     shards = tuple(tuple(build_content(texts[k][i::n_shards] or texts[k], dictionary_bytes, seed=i) for i in range(n_shards)) for k in languages)
     return LanguageModel(languages, shards)
@@ -45,19 +50,15 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_la
 
 def scorer(model: LanguageModel, margin: float):
     """A function from text to (language, score, rejected)."""
-    long = Sizer([s[0] for s in model.shards], model.block)
     n = len(model.shards[0]) if model.shards else 1
-    short = Sizer([d for s in model.shards for d in s], model.block, search_log=4)
+    sizer = Sizer([d for s in model.shards for d in s], model.block, search_log=3)
 
     def classify(text: str | None):
         if not model.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         data = letters_only(text)
-        if len(data) < model.short:
-            each = short.sizes(data)
-            sizes = [sum(each[i : i + n]) / n for i in range(0, len(each), n)]
-        else:
-            sizes = long.sizes(data)
+        each = sizer.sizes(data)
+        sizes = [sum(each[i : i + n]) / n for i in range(0, len(each), n)]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = [x for i, x in enumerate(sizes) if i != best]
         gap = (min(rest) - sizes[best]) / max(len(data), 1) if rest else 1.0

@@ -144,7 +144,7 @@ def _train(docs: list[tuple[list[str], list[int]]], context: int = 8, epochs: in
         if not words:
             continue
         middles = {i for i, v in enumerate(y) if v} | set(range(context, len(words), 10 * size))
-        for i in sorted(middles | {min(context, len(words) - 1)})[:64]:
+        for i in sorted(middles | {min(context, len(words) - 1)}):
             start = max(0, min(i - context, len(words) - size))
             tokens.append(words[start : start + size])
             tags.append(y[start : start + size])
@@ -217,7 +217,8 @@ def _features(p: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> ToxicModel:
-    """Train on at most ``per_class`` labels of each value. With one label only, scores are that label's share."""
+    """Train on at most ``per_class`` labels of each value, the field on three quarters of them, the calibration on the
+    last. With one label only, scores are that label's share."""
     rows = labelled_texts(docs, labels, label_col, per_class, text_col)
     counts = label_counts(labels, label_col)
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -225,12 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     split = {k: [_WORD.findall(r["text"]) for r in rows if r["label"] == k] for k in (0, 1)}
     if not split[0] or not split[1]:
         return ToxicModel({}, np.zeros(SLOTS), np.zeros(4), -20.0, np.zeros((2, 2)), (0.0, 0.0, 0.0, logit))
-    bad = offending_words(split[1], split[0])
-    tagged = [(d, [int(bad(w.lower())) for w in d]) for d in split[1]] + [(d, [0] * len(d)) for d in split[0]]
+    apart = {k: [d for i, d in enumerate(split[k]) if i % 4 == 3] or split[k] for k in split}
+    own = {k: [d for i, d in enumerate(split[k]) if i % 4 != 3] for k in split}
+    bad = offending_words(own[1], own[0])
+    tagged = [(d, [int(bad(w.lower())) for w in d]) for d in own[1]] + [(d, [0] * len(d)) for d in own[0]]
     words, (_, beginning, shape, bias, transition) = _train(tagged)
     model = ToxicModel(words, beginning, shape, float(bias[0]), transition, (0.0, 0.0, 0.0, 0.0))
-    x = [_features(marginals([np.array([model.emission(w) for w in d])], transition)[0]) for k in (0, 1) for d in split[k]]
-    y = np.array([k for k in (0, 1) for _ in split[k]])
+    x = [_features(marginals([np.array([model.emission(w) for w in d])], transition)[0]) for k in (0, 1) for d in apart[k]]
+    y = np.array([k for k in (0, 1) for _ in apart[k]])
     # weights that bring the balanced sample back to the shares of all labels
     sample = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     z = np.column_stack([np.array(x), np.ones(len(x))])

@@ -19,17 +19,20 @@ def letters_only(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split())
 
 
-def build_content(texts: list[bytes], limit: int, share: int = 256, seed: int = 7) -> bytes:
-    """At most ``limit`` bytes of dictionary content: from each text in turn a piece of ``share`` bytes at a random place."""
-    rnd, out, size = random.Random(seed), [], 0
-    for text in texts:
+def build_content(texts: list[bytes], limit: int, seed: int = 7) -> bytes:
+    """At most ``limit`` bytes of dictionary content: of every text a piece at a random place, all texts sharing the bytes
+    alike; what short ones leave over goes to those after them, so the shortest come first."""
+    rnd, out, left = random.Random(seed), [], limit
+    for n, text in enumerate(sorted(texts, key=lambda t: (len(t), t))):
+        share = left // (len(texts) - n) - 1
+        if share <= 0:
+            continue
         if len(text) > share:
             at = rnd.randrange(len(text) - share + 1)
             text = text[at : at + share]
-        if size + len(text) + 1 > limit:
-            break
         out.append(text)
-        size += len(text) + 1
+        left -= len(text) + 1
+    rnd.shuffle(out)
     return b"\n".join(out)
 
 
