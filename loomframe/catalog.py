@@ -251,3 +251,6 @@ def several_paths(spark, sf):
 
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["join_inner_aggregate"](spark, "/root/testdata/sf0.001")
+
+
+from . import catalog_sources  # noqa: E402, F401  its queries enter the same tables

@@ -48,9 +48,12 @@ class Aggregate(Function):
     """One value for each group: ``build`` makes it from the input columns; users pass their own.
 
     ``windowable``: the expression is one aggregate call, so it can stand beside the group's rows without a join.
+    ``framed``: ``frame`` makes (keys, ``_value``) of each group from the source, without gathering a group in memory;
+    ``build`` is used over joined rows only.
     """
 
     windowable = False
+    framed = False
 
     def __init__(self, *inputs: ColumnRef, build: Callable[..., Column] | None = None):
         super().__init__(*inputs)
@@ -126,7 +129,8 @@ class Sum(Aggregate):
 
 
 class Avg(Aggregate):
-    """Mean of what isn't null; with ``scale``, rounded half up to so many digits. ``Avg.of_time`` averages times."""
+    """Mean of what isn't null; with ``scale``, rounded half up to so many digits. ``Avg.of_time`` averages times; of
+    dates it is a date."""
 
     combinable = False
 
@@ -140,7 +144,10 @@ class Avg(Aggregate):
 
     def build(self, c: Column) -> Column:
         if self.time:
-            return F.timestamp_millis(F.avg(F.unix_millis(c.cast("timestamp"))).cast("bigint"))
+            moment = F.timestamp_millis(F.avg(F.unix_millis(c.cast("timestamp"))).cast("bigint"))
+            own = self.inputs[0].dataset
+            kind = own.df.select(own.column(self.inputs[0].name)).schema[0].dataType
+            return moment.cast("date") if isinstance(kind, T.DateType) else moment
         if self.scale is None:
             return F.avg(c.cast("double"))
         return F.round(F.avg(c.cast("decimal(38,18)")), self.scale)
@@ -150,12 +157,20 @@ class Median(Aggregate):
     """The element in the upper middle of the sorted group, nulls included and first; ``key`` sorts otherwise."""
 
     combinable = False
+    framed = True
     label = "medium"
 
     def __init__(self, c: ColumnRef, key: Callable[[Column], Column] | None = None):
         super().__init__(c)
         self.key = key
 
+    def frame(self, df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        value = F.col(columns[0])
+        order = [value.asc_nulls_first()] if self.key is None else [self.key(value).asc_nulls_first(), value.asc_nulls_first()]
+        own = Window.partitionBy(*keys)
+        placed = df.select(*keys, value.alias("_value"), F.row_number().over(own.orderBy(*order)).alias("_at"), F.count(F.lit(1)).over(own).alias("_n"))
+        return placed.where(F.col("_at") == F.floor(F.col("_n") / 2) + 1).drop("_at", "_n")
+
     def build(self, c: Column) -> Column:
         order = F.struct(c.alias("v")) if self.key is None else F.struct(self.key(c).alias("k"), c.alias("v"))
         return F.get(F.sort_array(F.collect_list(order)), (F.count(F.lit(1)) / 2).cast("int"))["v"]

@@ -91,10 +91,14 @@ def _compare(name: str, value, op: str, fmt: str | None) -> Predicate:
         raise TypeError(f"can't compare with {type(value).__name__}")
     if not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
+    zoned = value.tzinfo is not None
     low = value.replace(microsecond=value.microsecond // 1000 * 1000)
     high = low + (dt.timedelta(days=1) if value.time() == dt.time() else dt.timedelta(milliseconds=1))
 
     def build(r: Resolver) -> Column:
+        if zoned:  # a moment in time, whatever the session's zone; days are those of the moment's own zone
+            c = F.to_timestamp(r(name).cast("string"), fmt) if fmt else r(name).cast("timestamp")
+            return _moments(c, op, *(F.lit(x.isoformat(" ")).cast("timestamp") for x in (low, high)))
         kind = r.type(name) if not fmt and r.type(name) in ("date", "timestamp", "timestamp_ntz") else "timestamp"
         c = F.to_timestamp(r(name).cast("string"), fmt) if fmt else r(name).cast(kind)
         if kind == "date" and value.time() != dt.time():
@@ -160,8 +164,8 @@ def ge_columns(a: str, b: str) -> Predicate:
 
 
 def within(name: str, values: Iterable) -> Predicate:
-    """In a list of strings or of numbers."""
-    values = list(values)
+    """In a list of strings or of numbers; null, in the list or in the column, is in none."""
+    values = [v for v in values if v is not None]
     if all(isinstance(v, int | float) and not isinstance(v, bool) for v in values):
         return Predicate((name,), lambda r: (x := _numbers(r, name, *values))[0].isin(*x[1:]))
     return Predicate((name,), lambda r: r(name).cast("string").isin([str(v) for v in values]))
@@ -171,10 +175,20 @@ def not_within(name: str, values: Iterable) -> Predicate:
     return ~within(name, values)
 
 
+#: Most lines of a file that a predicate may hold: they are part of every task. Longer lists are for a join.
+MOST_LINES = 100_000
+
+
 def within_file(name: str, path: str) -> Predicate:
-    """In the lines of a small local file of the driver's, whatever the case; null is in none."""
+    """In the lines of a local file of the driver's, whatever the case; null is in none. A file of more than MOST_LINES
+    different lines is refused (ValueError): read it as a dataset and join."""
+    lines: set[str] = set()
     with open(path, encoding="utf-8") as f:
-        lines = sorted({line.rstrip("\r\n").lower() for line in f})
+        for line in f:
+            lines.add(line.rstrip("\r\n").lower())
+            if len(lines) > MOST_LINES:
+                raise ValueError(f"{path} has more than {MOST_LINES} lines: join with it instead")
+    lines = sorted(lines)
     return Predicate((name,), lambda r: F.lower(r(name).cast("string")).isin(lines))
 
 

@@ -4,6 +4,10 @@ Each dataset of a group contributes, by itself, one list of rows (its columns an
 aggregate, and one list of rows for each function that gives many; the result is the product of these. So aggregates of
 one dataset aren't inflated by the rows that another one matches. In Spark: every dataset is brought to its own part,
 aggregated before it is joined, and the parts are joined on the keys, null with null.
+
+A key is two columns from the start: its value, with a stand-in for null, and whether it is null. So parts are grouped and
+joined by plain equality of the same columns, and what one aggregation has shuffled needs no other shuffle to be joined.
+Key columns beside aggregates are read from the groups' own keys.
 """
 
 from __future__ import annotations
@@ -64,8 +68,28 @@ def _raw(c: ColumnRef) -> str:
     return f"_c_{c.dataset.name}_{c.name}".replace(".", "_")
 
 
-def _key_names(n: int) -> list[str]:
-    return [f"_k{i}" for i in range(n)]
+def _stand_in(kind: T.DataType) -> Column | None:
+    """A value of the type that null keys have; none for types whose keys are compared null-safe instead."""
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return F.lit(0).cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.lit("").cast(kind)
+    if kind.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        return F.lit("1970-01-01").cast(kind)
+    return None
+
+
+def _key_names(kinds: list[T.DataType]) -> list[str]:
+    return [n for i, t in enumerate(kinds) for n in ([f"_k{i}"] if _stand_in(t) is None else [f"_k{i}", f"_n{i}"])]
+
+
+def _key_columns(i: int, key: Column, kind: T.DataType) -> list[Column]:
+    key, value = key.cast(kind), _stand_in(kind)
+    return [key.alias(f"_k{i}")] if value is None else [F.coalesce(key, value).alias(f"_k{i}"), key.isNull().alias(f"_n{i}")]
+
+
+def _key_value(i: int, kind: T.DataType) -> Column:
+    return F.col(f"_k{i}") if _stand_in(kind) is None else F.when(~F.col(f"_n{i}"), F.col(f"_k{i}"))
 
 
 def _extend_columns(e: Extend, columns: list[Column]) -> list[Column]:
@@ -76,45 +100,66 @@ def _extend_columns(e: Extend, columns: list[Column]) -> list[Column]:
 def _source(part: Part, kinds: list[T.DataType], needed: list[ColumnRef]) -> DataFrame:
     """Keys and the columns that anything needs, under names that no other dataset has."""
     d = part.dataset
-    keys = [d.column(k.name).cast(t).alias(n) for k, t, n in zip(part.keys, kinds, _key_names(len(kinds)), strict=True)]
+    keys = [c for i, (k, t) in enumerate(zip(part.keys, kinds, strict=True)) for c in _key_columns(i, d.column(k.name), t)]
     seen = {_raw(c): d.column(c.name).alias(_raw(c)) for c in needed}
     return d.df.select(*keys, *seen.values())
 
 
+def _from_keys(part: Part, kinds: list[T.DataType]) -> dict[str, Column]:
+    """The key columns that grouping doesn't cast, from the groups' keys."""
+    d = part.dataset
+    own = d.df.select(*[d.column(k.name).alias(f"_{i}") for i, k in enumerate(part.keys)]).schema
+    return {_raw(k): _key_value(i, t) for i, (k, t) in enumerate(zip(part.keys, kinds, strict=True)) if own[i].dataType == t}
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on the keys, null equal to null; the left side's keys stay, or the right side's in a right join."""
     other = [f"{k}_r" for k in keys]
     right = right.withColumnsRenamed(dict(zip(keys, other, strict=True)))
-    on = [left[a].eqNullSafe(right[b]) for a, b in zip(keys, other, strict=True)]
+    safe = {k for k in keys if k.startswith("_k") and f"_n{k[2:]}" not in keys}
+    on = [left[a].eqNullSafe(right[b]) if a in safe else left[a] == right[b] for a, b in zip(keys, other, strict=True)]
     return left.join(right, on, how).drop(*other)
 
 
-def _build(part: Part, src: DataFrame, keys: list[str], keep_rows: bool) -> DataFrame:
+def _row_columns(part: Part, value) -> list[Column]:
+    """The part's columns and row functions; ``value`` gives the column of an input."""
+    rows = [value(c).alias(f"_o_{_raw(c)}") for c in {_raw(c): c for c in [*part.columns, *part.hidden]}.values()]
+    for i, e in enumerate(part.extends):
+        rows += [c.alias(f"_e{i}_{j}_{part.dataset.name}") for j, c in enumerate(_extend_columns(e, [value(x) for x in e.inputs]))]
+    return rows
+
+
+def _build(part: Part, src: DataFrame, keys: list[str], keep_rows: bool, plain: dict[str, Column]) -> DataFrame:
     """The dataset's part: its rows, aggregates and many-row functions, joined on the keys.
 
     Aggregates beside rows are window aggregates over one shuffle of the source where they can be; by themselves they
-    are combined before the shuffle.
+    are combined before the shuffle. ``plain`` has the columns that can be read from the keys.
     """
     outs = lambda f: [F.col(_raw(c)) for c in f.inputs]
     detail = any(not part.is_key(c) for c in part.used)
-    rows = [F.col(_raw(c)).alias(f"_o_{_raw(c)}") for c in {_raw(c): c for c in [*part.columns, *part.hidden]}.values()]
-    for i, e in enumerate(part.extends):
-        rows += [c.alias(f"_e{i}_{j}_{part.dataset.name}") for j, c in enumerate(_extend_columns(e, outs(e)))]
+    of_keys = not keep_rows and all(_raw(c) in plain for c in part.used)
     aggregates = [(a, f"_a{i}_{part.dataset.name}") for i, a in enumerate(part.aggregates)]
     out = None
-    if part.used:
+    if part.used and not of_keys:
         windowed = [(a, n) for a, n in aggregates if detail and a.windowable]
         aggregates = [x for x in aggregates if x not in windowed]
         over = Window.partitionBy(*keys)
-        base = src.select(*keys, *rows, *[a.build(*outs(a)).over(over).alias(n) for a, n in windowed])
+        base = src.select(*keys, *_row_columns(part, lambda c: F.col(_raw(c))), *[a.build(*outs(a)).over(over).alias(n) for a, n in windowed])
         out = base if detail or keep_rows else base.distinct()
+    framed = [x for x in aggregates if x[0].framed]
+    aggregates = [x for x in aggregates if not x[0].framed]
     if aggregates:
         grouped = src.groupBy(*keys).agg(*[a.build(*outs(a)).alias(n) for a, n in aggregates])
         out = grouped if out is None else _join(out, grouped, keys)
+    frames = [a.frame(src, keys, [_raw(c) for c in a.inputs]).withColumnRenamed("_value", n) for a, n in framed]
     for i, r in enumerate(part.rows):
         frame = r.frame(src, keys, [_raw(c) for c in r.inputs])
-        frame = frame.withColumnsRenamed({n: f"_r{i}_{j}_{part.dataset.name}" for j, n in enumerate(r.outputs)})
+        frames.append(frame.withColumnsRenamed({n: f"_r{i}_{j}_{part.dataset.name}" for j, n in enumerate(r.outputs)}))
+    for frame in frames:
         out = frame if out is None else _join(out, frame, keys)
+    if part.used and of_keys:
+        out = src.select(*keys).distinct() if out is None else out
+        return out.select("*", *_row_columns(part, lambda c: plain[_raw(c)]))
     return out
 
 
@@ -155,31 +200,41 @@ def compile_query(datasets: list[Dataset], keys: list[list[ColumnRef]], projecti
             for c in f.inputs:
                 parts[c.dataset.name].hidden.append(c)
     kinds = [common_type([d.df.select(d.column(k[i].name)).schema[0].dataType for d, k in zip(datasets, keys, strict=True)]) for i in range(len(keys[0]))]
-    key_names = _key_names(len(kinds))
+    key_names = _key_names(kinds)
+    plain = {d.name: _from_keys(parts[d.name], kinds) for d in datasets}
     combinable = all(not isinstance(p, Function) or p.combinable for p in projections)
+    taken = [f for f in shared if isinstance(f, Aggregate)]
+    # where nothing but keys stands beside functions of the joined rows, their groups are the result
+    alone = how == "inner" and taken and combinable and all(not p.aggregates and not p.rows and all(_raw(c) in plain[n] for c in p.used) for n, p in parts.items())
     built, sources = [], {}
     for i, d in enumerate(datasets):
         part = parts[d.name]
         needed = [*part.used, *[c for f in [*part.aggregates, *part.rows, *shared] for c in f.inputs if c.dataset.name == d.name]]
         sources[d.name] = _source(part, kinds, needed)
+        if alone:
+            continue
         # rows of keys alone are one for each group, but for the last dataset of a job that can't be combined map-side
         last = i == len(datasets) - 1 and not part.aggregates and not part.rows and not combinable
-        frame = _build(part, sources[d.name], key_names, keep_rows=last)
+        frame = _build(part, sources[d.name], key_names, last, plain[d.name])
         if frame is None:  # its columns are inputs of shared aggregates alone: it decides which groups there are
             frame = sources[d.name].select(*key_names).distinct()
         built.append(frame)
     outer = how != "inner"
-    if outer:
+    if alone:
+        whole = None
+    elif outer:
         built[1] = built[1].withColumn("_match", F.lit(1))
         whole = _join(built[0], built[1], key_names, "left")
     else:
         whole = reduce(lambda a, b: _join(a, b, key_names), built)
-    taken = [f for f in shared if isinstance(f, Aggregate)]
     if taken:
         # row by row over the joined rows, then one aggregation
         rows = reduce(lambda a, b: _join(a, b, key_names), [sources[n] for n in names])
         grouped = rows.groupBy(*key_names).agg(*[a.build(*[F.col(_raw(c)) for c in a.inputs]).alias(f"_s{i}") for i, a in enumerate(taken)])
-        whole = _join(whole, grouped, key_names, "left" if outer else "inner")
+        if alone:
+            whole = grouped.select("*", *[c for n in names for c in _row_columns(parts[n], lambda x: plain[x.dataset.name][_raw(x)])])
+        else:
+            whole = _join(whole, grouped, key_names, "left" if outer else "inner")
     final: list[Column] = []
     right = names[1] if outer else None
     place = {n: {"e": 0, "a": 0, "r": 0} for n in names}

@@ -89,6 +89,16 @@ class Dataset:
         predicate.check(self)
         return replace(self, constraints=(*self.constraints, predicate))
 
+    def order_by(self, *sorts) -> Dataset:
+        """The rows in one total order, by ``Sort`` keys or names (ascending, null first); lists of it keep the order."""
+        if not sorts:
+            raise ValueError("no sort key")
+        keys = []
+        for s in sorts:
+            ref = self[s if isinstance(s, str) else s.column]
+            keys.append(self.column(ref.name).asc_nulls_first() if isinstance(s, str) else s.order(self.column(ref.name)))
+        return replace(self, source=self.df.orderBy(*keys), computed=(), constraints=())
+
     def column(self, name: str) -> Column:
         """The Spark column for a name, ``map.key`` included; map keys are lower case."""
         head, _, key = name.lower().partition(".")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .dataset import Dataset, from_dataframe
@@ -31,24 +31,32 @@ def _paths(spark: SparkSession, paths: str | list[str], marker: bool) -> list[st
     return paths
 
 
-def delimited(spark: SparkSession, name: str, paths: str | list[str], columns: list[str], sep: str = "\t", extra: int = 0, parser: Callable[[DataFrame], DataFrame] | None = None, marker: bool = False) -> Dataset:
+def delimited(spark: SparkSession, name: str, paths: str | list[str], columns: list[str], sep: str = "\t", extra: int = 0, parser: Callable[[DataFrame], DataFrame] | None = None, marker: bool = False, counters: Observation | None = None) -> Dataset:
     """Lines split at a literal separator, every cell a string: no quoting, no escapes, no header.
 
     A cell that is there but empty is ``''``; cells missing at the end of a line are null; an empty line is all null.
     ``extra`` keeps so many cells beyond the columns as ``idx_<i>``. Several paths are read as one. ``parser`` replaces
     the splitting: it gets a DataFrame with the column ``value`` and returns the columns; rows that it marks true in a
-    column ``_malformed`` are dropped.
+    column ``_malformed`` are dropped. ``counters`` gets ``read`` and ``malformed``, the numbers of lines and of those
+    dropped, while a result is written.
     """
-    names = list(dict.fromkeys(c.lower() for c in columns))
+    names = [c.lower() for c in columns]
+    if len(set(names)) < len(names):
+        raise ValueError("a column stands twice")
     lines = spark.read.text(_paths(spark, paths, marker))
     if parser is not None:
         parsed = parser(lines)
+        if counters is not None:
+            bad = F.coalesce(F.col(MALFORMED), F.lit(False)) if MALFORMED in parsed.columns else F.lit(False)
+            parsed = parsed.observe(counters, F.count(F.lit(1)).alias("read"), F.count(F.when(bad, 1)).alias("malformed"))
         if MALFORMED in parsed.columns:
             parsed = parsed.where(~F.coalesce(F.col(MALFORMED), F.lit(False))).drop(MALFORMED)
         lost = set(names) - {c.lower() for c in parsed.columns}
         if lost:
             raise ValueError(f"the parser gives no {', '.join(sorted(lost))}")
         return from_dataframe(name, parsed)
+    if counters is not None:
+        lines = lines.observe(counters, F.count(F.lit(1)).alias("read"), F.lit(0).alias("malformed"))
     cells = lines.select(F.when(F.col("value") != "", F.split("value", re.escape(sep).replace("\\\t", "\\t"), -1)).alias("cells"))
     names += [f"idx_{i}" for i in range(len(names), len(names) + extra)]
     return Dataset(name, cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]))

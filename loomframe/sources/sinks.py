@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -10,9 +10,21 @@ from .dataset import Dataset
 
 
 def _check(result: Dataset, path: str) -> None:
-    norm = lambda p: re.sub("/+", "/", re.sub(r"^\w+:", "", p)).rstrip("/")
-    if any(norm(f).startswith(norm(path) + "/") or norm(f) == norm(path) for f in result.source.inputFiles()):
-        raise ValueError(f"{path} is read by what is to be written there")
+    """Refuse to overwrite what the result is read from. Both are compared as the file system qualifies them, so a relative
+    path, or one without a scheme, is the same folder."""
+    spark = result.source.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(p: str) -> str:
+        hadoop = jvm.org.apache.hadoop.fs.Path(p)
+        uri = hadoop.getFileSystem(conf).makeQualified(hadoop).toUri()
+        return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}".rstrip("/")
+
+    target = whole(path)
+    for f in set(result.source.inputFiles()):
+        read = whole(unquote(f))
+        if read == target or read.startswith(target + "/") or target.startswith(read + "/"):
+            raise ValueError(f"{path} is read by what is to be written there")
 
 
 def save_text(result: Dataset, path: str, sep: str = "\t") -> None:
