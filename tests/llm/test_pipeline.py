@@ -8,6 +8,7 @@ import corpus_pipeline
 from loomframe.llm import decontamination, near_duplicates, personal_data, quality_rules, registry
 from loomframe.llm.common import table, written
 
+from .edges import EDGES
 from .test_matching import brute_groups
 
 
@@ -37,6 +38,19 @@ def test_stages(spark, sample):
     assert before.count() > 0.7 * docs.count()
 
 
+def test_stages_on_edges(spark, docs, sample):
+    """Null and repeated ids, null, empty, blank and long texts, repeated rows, no table at all, and other columns."""
+    texts = [*EDGES, EDGES[5], " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(40))]
+    odd = docs(texts, ids=[None, 1, 1, None, 4, 5, 6, 7, 8, 9, None, 3, None]).drop("lang", "n_chars")
+    counts = []
+    for before in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            before = written(stage(spark, before, sample), "stage")
+            counts.append(before.count())
+    assert before.columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"]
+    assert counts == [4, 2, 2, 2, 2, 0, 0, 0, 0, 0]
+
+
 def test_near_duplicate_stage(spark, docs, sample):
     """Brute force with five words and 0.8; some pairs are near copies for that and not for op4's four words and 0.85."""
     rnd = random.Random(8)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.llm import class_lm, language_id, quality_compression, quality_rules, toxicity
 
@@ -132,6 +133,67 @@ def test_learned_rules_on_held_out_rows(spark):
     assert sum(hit) >= 0.9 * len(hit) and sum(hit) >= 0.8 * sum(r["quality"] == 0 for r in rows) > 3
 
 
+def brute_size(content, data, block):
+    """Compressed bytes under a raw-content dictionary, each block by itself; independent of the sizer's own dictionaries."""
+    import zstandard
+
+    from loomframe.llm import zcompress
+
+    d = zstandard.ZstdCompressionDict(content + zcompress.PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def params(search_log):
+        return zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, search_log=search_log, window_log=17, hash_log=16, chain_log=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    return lambda search_log: sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params(search_log)).compress(zcompress.PAD + data[i : i + block])) for i in range(0, len(data), block))
+
+
+def test_language_against_brute_force(spark):
+    """The language of the least mean size, for short and long texts alike."""
+    from loomframe.llm import zcompress
+
+    rnd = random.Random(4)
+    words = {"xx": ["bana", "toru", "kemi", "lopa"], "yy": ["gröl", "ståp", "frem", "lopa"], "zz": ["quix", "vemp", "toru"]}
+    rows = [(i, " ".join(rnd.choices(words[k], k=rnd.randint(1, 400))), k) for i, k in enumerate(rnd.choices(list(words), k=150))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    ask = [" ".join(rnd.choices(words[rnd.choice(list(words))] + ["lopa", "toru"], k=rnd.choice([1, 2, 5, 60, 1500]))) for _ in range(40)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(list(enumerate(ask)), "doc_id bigint, text string"), model).collect()}
+    for i, t in enumerate(ask):
+        data = zcompress.letters_only(t)
+        sizes = [sum(brute_size(c, data, model.block)(3) for c in shard) for shard in model.shards]
+        assert got[i] == model.languages[sizes.index(min(sizes))]
+    with pytest.raises(ValueError):
+        language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), most_languages=2)
+
+
+def test_quality_against_brute_force(spark, docs):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices(["good", "fine", "prose"] if i % 2 else ["buy", "###", "now!!"], k=rnd.randint(5, 200))) for i in range(80)]
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(80)], "doc_id string, quality int")
+    table = docs([*texts, *EDGES]).withColumn("doc_id", F.col("doc_id").cast("string"))  # ids may be text
+    model = quality_compression.fit(table, labels)
+    for r in quality_compression.score(table, model).collect():
+        data = ([*texts, *EDGES][int(r["doc_id"])] or "").encode()
+        want = (brute_size(model.bad, data, model.block)(2) - brute_size(model.good, data, model.block)(2)) / len(data) if data else 0.0
+        assert math.isclose(r["difference"], want, abs_tol=1e-12)
+        assert not data or len(data) < 40 or int(r["doc_id"]) >= 80 or r["predicted"] == int(r["doc_id"]) % 2
+
+
+def test_every_text_gives_to_a_dictionary():
+    from loomframe.llm import zcompress
+
+    texts = [bytes([65 + i]) * n for i, n in enumerate([10, 5000, 300, 2000, 1, 900])]
+    made = zcompress.build_content(texts, 1200)
+    assert set(made.split(b"\n")) >= {texts[0], texts[4]} and len(made) <= 1200 and len({c for c in made if c != 10}) == 6 and len(made) > 1100
+
+
+def test_toxicity_with_text_ids_and_every_window(spark, docs):
+    texts = ["fine words here and there " * 5 if i % 2 else "you vile scum " * 200 for i in range(60)]
+    table = docs(texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.createDataFrame([(f"d{i}", 1 - i % 2) for i in range(60)], "doc_id string, toxic int")
+    rows = toxicity.score(table, toxicity.fit(table, labels)).collect()
+    assert all(r["predicted"] == 1 - int(r["doc_id"][1:]) % 2 for r in rows)
+
+
 def held_out(scored, labels, fold):
     own = {r["doc_id"]: r for r in scored.where("held_out").collect()}
     assert all(zlib.crc32(str(i).encode()) % fold[0] == fold[1] for i in own)
