@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
-from . import Avg, Concat, Counts, Max, Median, Min, Sort, Top, counted, delimited, from_dataframe, group, list_columns, named, read, register, save, save_text, sequence_file, settings, typed
+from . import Avg, Concat, Counts, Max, Median, Min, Sort, Top, counted, delimited, from_dataframe, group, list_columns, named, read, register, run, save, save_text, sequence_file, settings, typed
 from .catalog import _t, query
 from .operators import criteria as C
 from .sources.dataset import Dataset
@@ -73,6 +73,27 @@ def counters_of_rows(spark, sf):
     return _row(spark, **{k: counters.get[k] for k in ("input", "output", "filtered")})
 
 
+@query("SELECT count(*) AS input, count(*) FILTER (n >= 12) AS output, count(*) FILTER (n < 12) AS filtered FROM (SELECT count(o_orderkey) AS n FROM orders GROUP BY o_custkey)")
+def counters_of_groups(spark, sf):
+    d = _t(spark, sf, "orders")
+    seen, counters = counted(group(d).by("o_custkey").select(d["o_custkey"], Counts(d["o_orderkey"]).rename("n")).where(C.ge("n", 12)), "groups")
+    list_columns(seen, "n").df.write.format("noop").mode("overwrite").save()
+    return _row(spark, **{k: counters.get[k] for k in ("input", "output", "filtered")})
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal < 5000")
+def program_with_settings(spark, sf):
+    path = _scratch(spark)
+
+    def main(session, argv):
+        most, target = float(argv[0]), argv[1]
+        save(list_columns(_t(session, sf, "supplier").where(C.lt("s_acctbal", most)), "s_suppkey", "s_name"), target, "orc")
+
+    if run(main, ["-D", "spark.sql.files.maxPartitionBytes=64m", "5000", path], spark):
+        raise RuntimeError("the program failed")
+    return list_columns(typed(spark, "written", path, fmt="orc", marker=True), "s_suppkey", "s_name")
+
+
 @query("SELECT c_custkey, c_name FROM customer")
 def paths_listed(spark, sf):
     low, high = _scratch(spark), _scratch(spark)
