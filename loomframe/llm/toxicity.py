@@ -232,7 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     tagged = [(d, [int(bad(w.lower())) for w in d]) for d in own[1]] + [(d, [0] * len(d)) for d in own[0]]
     words, (_, beginning, shape, bias, transition) = _train(tagged)
     model = ToxicModel(words, beginning, shape, float(bias[0]), transition, (0.0, 0.0, 0.0, 0.0))
-    x = [_features(marginals([np.array([model.emission(w) for w in d])], transition)[0]) for k in (0, 1) for d in apart[k]]
+    known: dict[str, float] = {}
+    x = []
+    for k in (0, 1):
+        for at in range(0, len(apart[k]), 50):
+            part = [np.array([known[w] if w in known else known.setdefault(w, model.emission(w)) for w in d], float) for d in apart[k][at : at + 50]]
+            x += [_features(p) for p in marginals(part, transition)]
     y = np.array([k for k in (0, 1) for _ in apart[k]])
     # weights that bring the balanced sample back to the shares of all labels
     sample = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
