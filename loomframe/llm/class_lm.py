@@ -429,49 +429,51 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     k = len(model.room) - 1
-    # of each common word: class, log10(c + 1) and log10 of its emission
-    facts = {w: (c, math.log10(n + 1), math.log10(n + model.delta) - float(model.room[c])) for w, (n, c) in model.common.items()}
-    end_known = int(model.common[END][0] > 0)
+    # of each common word: class, log10(c + 1) and log10 of its emission; the last entry stands for all other words
+    number_of = {w: i for i, w in enumerate(model.common)}
+    times, class_of = (np.array([x[i] for x in model.common.values()]) for i in (0, 1))
+    known_base = np.append(np.log10(times + 1.0), 0.0)
+    known_score = np.append(np.log10(times + model.delta) - model.room[class_of], 0.0)
+    known = np.append(np.ones(len(times), np.int64), 0)
+    known[number_of[END]] = int(model.common[END][0] > 0)
     base_log = math.log10(model.total + model.distinct + 1)
-    shared = spark.sparkContext.broadcast((facts, model.step))
+    shared = spark.sparkContext.broadcast((number_of, np.append(class_of, -1), known, known_base, known_score, model.step))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, open array<struct<word:string,left:int,right:int,tf:int>>, near array<struct<a:string,b:string,tf:int>>"
+    schema = f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, open array<struct<word:string,left:int,right:int>>, near array<struct<a:string,b:string>>"
 
     def run(batches):
         import pyarrow as pa
 
-        own, step = shared.value
-        end = own[END]
-        open_type = pa.list_(pa.struct([("word", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("tf", pa.int32())]))
-        near_type = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("tf", pa.int32())]))
+        number_of, class_of, known, known_base, known_score, step = shared.value
+        get, end, other = number_of.get, number_of[END], len(number_of)
+
+        def listed(mask: np.ndarray, starts: np.ndarray, **columns):
+            offsets = np.append(0, np.cumsum(np.add.reduceat(mask.astype(np.int64), starts))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
         for batch, part, texts in _parts(batches, 1):
-            n_tokens, n_known, base, model_score, opens, nears = [], [], [], [], [], []
+            words, sizes = [], []
             for text in texts:
-                words = tokens(text)
-                found = [own.get(w) for w in words]
-                path = [-1 if f is None else f[0] for f in found]
-                known = [f for f in found if f is not None]
-                open_words, near_words = Counter(), Counter()
-                if len(known) < len(found):
-                    path.append(end[0])  # also what stands before the first word, at -1
-                    for i, f in enumerate(found):
-                        if f is None:
-                            open_words[words[i], path[i - 1], path[i + 1]] += 1
-                            if path[i + 1] < 0:
-                                near_words[words[i], words[i + 1]] += 1
-                    path.pop()
-                steps = np.array([end[0], *path, end[0]], np.int64)
-                a, b = steps[:-1], steps[1:]
-                both = (a >= 0) & (b >= 0)
-                n = len(words) + 1
-                n_tokens.append(n)
-                n_known.append(len(known) + end_known)
-                base.append(math.fsum(f[1] for f in known) + end[1] - n * base_log)
-                model_score.append(float(step[a[both], b[both]].sum()) + math.fsum(f[2] for f in known) + end[2])
-                opens.append([{"word": w.decode("utf-8"), "left": x, "right": y, "tf": c} for (w, x, y), c in open_words.items()])
-                nears.append([{"a": x.decode("utf-8"), "b": y.decode("utf-8"), "tf": c} for (x, y), c in near_words.items()])
-            columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(model_score, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns, pa.array(opens, open_type), pa.array(nears, near_type)], names=["id", "n_tokens", "n_known", "base_score", "score", "open", "near"])
+                own = tokens(text)
+                words += own
+                words.append(END)
+                sizes.append(len(own) + 1)
+            ids = np.array([get(w, other) for w in words], np.int64)
+            sizes = np.array(sizes, np.int64)
+            starts = np.cumsum(sizes) - sizes
+            classes = class_of[np.append(end, ids)]  # before each text stands END, that of the text before or the first one
+            left, own = classes[:-1], classes[1:]
+            moves = np.where((left >= 0) & (own >= 0), step[left, own], 0.0)
+            total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+            is_open = own < 0
+            at = np.flatnonzero(is_open)
+            is_near = is_open & np.append(is_open[1:], False)  # a text ends with END, which isn't
+            word = lambda places: pa.array([words[i] for i in places], pa.binary()).cast(pa.string())  # noqa: E731, B023
+            pairs = np.flatnonzero(is_near)
+            opens = listed(is_open, starts, word=word(at), left=pa.array(left[at].astype(np.int32)), right=pa.array(own[at + 1].astype(np.int32)))
+            nears = listed(is_near, starts, a=word(pairs), b=word(pairs + 1))
+            columns = [pa.array(sizes), pa.array(total(known[ids])), pa.array(total(known_base[ids]) - sizes * base_log), pa.array(total(known_score[ids] + moves))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns, opens, nears], names=["id", "n_tokens", "n_known", "base_score", "score", "open", "near"])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the table is written once: rows get their number from files that stay as they are
@@ -480,18 +482,18 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
     step, room, width = numbers(model.step), numbers(model.room), F.lit(k + 1)
     step_of = lambda a, b: F.get(step, (a * width + b).cast("int"))
     zero, nothing = F.lit(0.0), F.lit(0)
-    n, c, tf = F.coalesce("n", nothing), F.coalesce("class", F.lit(k)), F.col("tf")
-    opened = first_pass.select("row", F.explode("open").alias("x")).select("row", "x.word", "x.left", "x.right", "x.tf").join(model.tail, "word", "left")
+    n, c = F.coalesce("n", nothing), F.coalesce("class", F.lit(k))
+    opened = first_pass.select("row", F.explode("open").alias("x")).select("row", "x.word", "x.left", "x.right").join(model.tail, "word", "left")
     beside = F.when(F.col("left") >= 0, step_of(F.col("left"), c)).otherwise(zero) + F.when(F.col("right") >= 0, step_of(c, F.col("right"))).otherwise(zero)
     opened = opened.select(
         "row",
-        F.when(n > 0, tf).otherwise(nothing).cast("bigint").alias("more_known"),
-        (tf * F.log10(n + 1)).alias("more_base"),
-        (tf * (F.log10(n + F.lit(model.delta)) - F.get(room, c) + beside)).alias("more_score"),
+        F.when(n > 0, 1).otherwise(nothing).cast("bigint").alias("more_known"),
+        F.log10(n + 1).alias("more_base"),
+        (F.log10(n + F.lit(model.delta)) - F.get(room, c) + beside).alias("more_score"),
     )
     of = lambda x: model.tail.select(F.col("word").alias(x), F.col("class").alias(f"c_{x}"))
-    near = first_pass.select("row", F.explode("near").alias("x")).select("row", "x.a", "x.b", "x.tf").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    near = near.select("row", nothing.cast("bigint").alias("more_known"), zero.alias("more_base"), (tf * step_of(F.coalesce("c_a", F.lit(k)), F.coalesce("c_b", F.lit(k)))).alias("more_score"))
+    near = first_pass.select("row", F.explode("near").alias("x")).select("row", "x.a", "x.b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    near = near.select("row", nothing.cast("bigint").alias("more_known"), zero.alias("more_base"), step_of(F.coalesce("c_a", F.lit(k)), F.coalesce("c_b", F.lit(k))).alias("more_score"))
     looked_up = opened.unionByName(near).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more_known", "more_base", "more_score")])
     whole = first_pass.drop("open", "near").join(looked_up, "row", "left")
     found = whole.select(
