@@ -115,6 +115,16 @@ def test_decontamination(spark, docs):
     assert decontamination.find(table, bench.limit(0)).count() == 0 and decontamination.find(table.limit(0), bench).count() == 0
 
 
+def test_rows_are_decontaminated_one_by_one(spark, docs):
+    """Rows that share an id, or have none, each count for themselves."""
+    item = " ".join(f"b{i}" for i in range(20))
+    clean = " ".join(f"c{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    table = docs([item, clean, item, clean, None], ids=[None, None, 5, 5, 6])
+    left = decontamination.decontaminate(table, bench)
+    assert left.columns == table.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, clean), (5, clean), (6, None)], key=repr)
+
+
 def test_decontamination_of_capitals(spark, docs):
     """Capitals with accents, of other scripts, and those that change a word's length are the same words."""
     items = ["l'été où la forêt brûlée était à côté du château près de Besançon hélas", "στο τέλος ο δρόμος είναι μακρύς και ο λόγος σοφός εδώ πάντα ΟΔΟΣ", "die straße an der großen schleuße heißt süß und müßig außer für füße"]
