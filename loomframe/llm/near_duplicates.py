@@ -9,8 +9,8 @@
    ordinary of those that this left outside. What is left is compared in all pairs across components, so no link between
    components is missed and large groups of copies never become all their pairs.
 4. A pair is compared once, and only if its sizes (length filter), the places of the n-gram in both orders (positional
-   filter) and the numbers of n-grams in each of 64 parts of the hash space (suffix filter) allow enough in common. All
-   three leave out the n-grams that only one set has.
+   filter) and the numbers of n-grams in each of 64 parts of the hash space (suffix filter) allow enough in common. The
+   latter two leave out the n-grams that only one set has.
 
 How n-grams are counted: texts are gathered in chunks of some million n-grams. A chunk sends each of its n-grams once,
 with its number, to the strip of the hash space that it belongs to, as sorted differences of one to two bytes; a strip
@@ -133,10 +133,11 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
     return written(plain.mapInArrow(run, target), "sets")
 
 
-def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, strips: int, salt: int) -> DataFrame:
-    """(gram, node, size, shared, rank) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
-    n-grams are such, ``rank`` of them come before this one in the order. Of a set that several chunks have, one chunk
-    gives the entries."""
+def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, bits: int, strips: int, salt: int) -> DataFrame:
+    """(gram, node, size, shared, rank, slots) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
+    n-grams are such, ``rank`` of them come before this one in the order; ``slots``, with a set's first entry alone, is how
+    many of them are in each of SIGNATURE parts of the hash space. Of a set that several chunks have, one chunk gives the
+    entries."""
     import pyarrow as pa
 
     def add(batches):
@@ -175,7 +176,7 @@ def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, strips: int, salt:
             starts = ends - sizes
             sums = np.cumsum(steps.astype(np.int64))
             index = sums - np.repeat(sums[starts] - steps[starts].astype(np.int64), sizes)
-            grams, of, rank, shared = [], [], [], []
+            grams, of, rank, shared, slots_of = [], [], [], [], []
             alike = total[index] > 0
             before = np.concatenate([[0], np.cumsum(alike)])
             n_shared = before[ends] - before[starts]
@@ -190,10 +191,12 @@ def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, strips: int, salt:
                 of.append(np.full(len(first), d))
                 rank.append(np.arange(len(first), dtype=np.int32))
                 shared.append(np.full(len(first), n_shared[d], np.int32))
+                parts_of = np.bincount((slot[mine] >> np.uint64(bits - 6)).astype(np.int64), minlength=SIGNATURE)
+                slots_of += [parts_of, *[None] * (len(first) - 1)]
             if grams:
                 d = np.concatenate(of)
                 columns = [np.concatenate(grams), node[d], sizes[d].astype(np.int32), np.concatenate(shared), np.concatenate(rank)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "size", "shared", "rank"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(slots_of, pa.list_(pa.int32()))], names=["gram", "node", "size", "shared", "rank", "slots"])
 
     parts = sets.where("strip is not null").select("chunk", "strip", "data")
     answers = parts.where("strip >= 0").repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(add, "chunk bigint, strip int, data binary")
@@ -202,7 +205,7 @@ def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, strips: int, salt:
     several = stands.groupBy("f1", "f2").agg(F.min("chunk").alias("own"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "own")
     elsewhere = stands.join(several, ["f1", "f2"]).where("chunk <> own").select("chunk", F.lit(-2).alias("strip"), F.lit(None).cast("binary").alias("data"), "f1", "f2")
     by_chunk = parts.where("strip < 0").unionByName(answers).unionByName(elsewhere, allowMissingColumns=True)
-    return by_chunk.repartition(strips, "chunk").sortWithinPartitions("chunk").mapInArrow(choose, "gram bigint, node bigint, size int, shared int, rank int")
+    return by_chunk.repartition(strips, "chunk").sortWithinPartitions("chunk").mapInArrow(choose, "gram bigint, node bigint, size int, shared int, rank int, slots array<int>")
 
 
 def _nodes(rows: DataFrame, entries: DataFrame, salt: int) -> DataFrame:
@@ -220,7 +223,7 @@ def _nodes(rows: DataFrame, entries: DataFrame, salt: int) -> DataFrame:
     return written(own.groupBy("node", "f1", "f2").agg(F.min("doc").alias("doc")), "nodes")
 
 
-def _node_sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col: str, salt: int) -> DataFrame:
+def _node_sets(docs: DataFrame, nodes: DataFrame, slots: DataFrame, n: int, id_col: str, text_col: str, salt: int) -> DataFrame:
     """(node, size, slots, grams) of every node: the texts that make them are read once more, and no others are cut up."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -245,16 +248,15 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, n: int, id_col: str, text_col:
                         own[f] = grams
                 if own:
                     f = np.array(list(own), np.int64).view(np.uint64)
-                    slots = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SIGNATURE) for s in own.values()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_node(f[:, 0], f[:, 1], salt)), pa.array([len(s) for s in own.values()], pa.int32()), pa.array(slots, pa.list_(pa.int32())), pa.array([s.tobytes() for s in own.values()], pa.binary())],
-                        names=["node", "size", "slots", "grams"],
+                        [pa.array(_node(f[:, 0], f[:, 1], salt)), pa.array([len(s) for s in own.values()], pa.int32()), pa.array([s.tobytes() for s in own.values()], pa.binary())],
+                        names=["node", "size", "grams"],
                     )
 
     hashed = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    made = hashed.mapInArrow(run, "node bigint, size int, slots array<int>, grams binary").join(nodes.select("node"), "node", "left_semi")
+    made = hashed.mapInArrow(run, "node bigint, size int, grams binary").join(nodes.select("node"), "node", "left_semi")
     # copies in several tasks give one set several times
-    return written(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "slots", "grams")]), "node-sets")
+    return written(made.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")).join(slots, "node"), "node-sets")
 
 
 def _worth(a: str, b: str, percent: int):
@@ -342,16 +344,18 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     made = _sets(docs, n, id_col, text_col, bits, strip_bits)
     rows = written(made.where("size is not null").select("doc", "size", "f1", "f2", "chunk"), "rows")
     for salt in count(1):
-        entries = written(_prefixes(made, rows, percent, 1 << strip_bits, salt), "entries")
-        left = written(_open(entries), "open")
-        drop_written(entries)
+        entries = written(_prefixes(made, rows, percent, bits, 1 << strip_bits, salt), "entries")
+        left = written(_open(entries.drop("slots")), "open")
         nodes = _nodes(rows, left, salt)
+        slots = written(entries.where("slots is not null").select("node", "slots").join(nodes.select("node"), "node", "left_semi"), "slots")
+        drop_written(entries)
         if nodes.groupBy("node").count().where("count > 1").isEmpty():
             break
-        drop_written(left)  # two sets have one number: other numbers
-        drop_written(nodes)
+        for old in (left, nodes, slots):  # two sets have one number: other numbers
+            drop_written(old)
     drop_written(made)
-    sets = _node_sets(docs, nodes, n, id_col, text_col, salt)
+    sets = _node_sets(docs, nodes, slots, n, id_col, text_col, salt)
+    drop_written(slots)
 
     found = None
     links, tested = [], []
