@@ -316,13 +316,36 @@ def _led(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("e.node", "hub.node").alias("a"), F.greatest("e.node", "hub.node").alias("b")).distinct()
 
 
+def _shared_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, slots) of these ``nodes``: in each part of the hash space, how many n-grams another one of them has as well."""
+    import pyarrow as pa
+
+    def spread(batches):
+        for batch in batches:
+            for node, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                grams = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node)), pa.array(grams)], names=["node", "gram"])
+
+    grams = sets.join(nodes, "node", "left_semi").select("node", "grams").mapInArrow(spread, "node bigint, gram bigint")
+    several = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    part = F.shiftrightunsigned("gram", 58).cast("int").alias("part")
+    counts = grams.join(several, "gram", "left_semi").groupBy("node", part).agg(F.count("*").cast("int").alias("n"))
+    each = counts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("of"))
+    return each.select("node", F.transform(F.sequence(F.lit(0), F.lit(SIGNATURE - 1)), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0))).alias("slots"))
+
+
 def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of one meeting and different components that pass all filters."""
+    """Pairs of entries of one meeting and different components that pass all filters.
+
+    The suffix filter counts only n-grams that several of the sets in these meetings have, each set once however many
+    copies it has, so members of a group of copies that differ from each other by their own changes don't pass it.
+    """
     # the largest size that a partner can have; entries that no partner in their meeting fits go before any pair is made
     reach = F.floor(F.col("shared") * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
     own = entries.drop("hub").withColumn("reach", reach)
     fits = own.groupBy("gram").agg(F.min("size").alias("_least"), F.max("reach").alias("_most"))
-    own = own.join(fits, "gram").where("reach >= _least and size <= _most").drop("_least", "_most", "reach").join(sets.select("node", "slots"), "node")
+    slots = written(_shared_slots(entries.select("node").distinct(), sets), "slots")
+    own = own.join(fits, "gram").where("reach >= _least and size <= _most").drop("_least", "_most", "reach").join(slots, "node")
     s, t = own.alias("s"), own.alias("t")
     can = _worth("s", "t", percent) & _enough(_common_slots("s.slots", "t.slots"), F.col("s.size"), F.col("t.size"), percent)
     pairs = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & (F.col("s.node") < F.col("t.node")) & can)
