@@ -7,7 +7,8 @@ tokens' joint text is encoded as these two. Tokens that end at a place come from
 filled from left to right and the ids are read off backwards.
 
 Texts are cut first where no token of the vocabulary can reach across: before a space that follows something else, and
-on both sides of a character outside the vocabulary. What lies between is encoded once a task and remembered.
+between two characters that no token has side by side, such as one outside the vocabulary and any other. What lies
+between is encoded once a task and remembered.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import per_document, table
 
 SPACE_MARK = "▁"
 _PARTS = re.compile(r" +[^ ]*")
-#: Encoded chunks and tested pairs that a task remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Encoded words, encoded chunks and tested pairs that a task remembers, of each; beyond that it forgets those it met least lately.
+REMEMBERED = 600_000
 
 
 def merge_encode(text: str, rank: dict[str, float]) -> list[str]:
@@ -57,6 +58,24 @@ def merge_encode(text: str, rank: dict[str, float]) -> list[str]:
     return [p for p in parts if p]
 
 
+class Memory:
+    """Values by key, REMEMBERED at most: when half of that many came or came back, all that didn't are forgotten."""
+
+    def __init__(self) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def find(self, key):
+        """The value of a key that isn't among the new ones, if it is remembered."""
+        return None if (value := self.old.get(key)) is None else self.put(key, value)
+
+    def put(self, key, value):
+        if len(self.new) >= REMEMBERED // 2:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+
 class PieceTable:
     """Encoder and decoder for one model file of the byte-fallback BPE kind."""
 
@@ -86,30 +105,37 @@ class PieceTable:
         self.plain = {i: p.replace(SPACE_MARK, " ") for p, i in self.ids.items()}
         #: Only a token that its own text is encoded as can occur.
         self.tokens = {p: i for p, i in self.ids.items() if p not in self.runs and (len(p) == 1 or merge_encode(p, words) == [p])}
+        self.id_texts, self.plain_texts = {p: str(i) for p, i in self.tokens.items()}, {p: self.plain[i] for p, i in self.tokens.items()}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
             self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
         if any(len(c) == 1 and c not in self.ids for p in self.ids for c in p):
             raise ValueError("every character of a token is expected to be a token")
-        known = "".join(sorted({c for p in self.ids for c in p if c != SPACE_MARK}))
-        #: Spaces with the run of known characters behind them, or one character that no token has.
-        self.chunks = re.compile(f" *[{re.escape(known)}]+| +|[^ {re.escape(known)}]", re.DOTALL)
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.encoded: dict[str, tuple[str, str]] = {}
+        behind: dict[str, set[str]] = {}
+        for p in self.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                if a != SPACE_MARK:
+                    behind.setdefault(a, set()).add(b)
+        alike: dict[str, str] = {}  # characters by those that may follow
+        for a, found in sorted(behind.items()):
+            follow = "".join(sorted(found))
+            alike[follow] = alike.get(follow, "") + a
+        linked = "|".join(f"[{re.escape(a)}](?=[{re.escape(b)}])" for b, a in sorted(alike.items(), key=lambda x: -len(x[0])))
+        #: Spaces with the characters behind them, as far as tokens have each two side by side.
+        self.chunks = re.compile(f" *(?:{linked or '(?!)'})*[^ ]| +")
+        self.compatible, self.encoded, self.cut = Memory(), Memory(), Memory()
         self.spaces = lru_cache(maxsize=4096)(self._spaces)
 
     def _pair(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are when they meet."""
-        if len(self.compatible) >= REMEMBERED:
-            self.compatible.clear()
-        found = self.compatible[left, right] = merge_encode(left + right, self.rank) == [left, right]
-        return found
+        known = self.compatible.find((left, right))
+        return self.compatible.put((left, right), merge_encode(left + right, self.rank) == [left, right]) if known is None else known
 
     def _table(self, text: str) -> list[str]:
         """The tokens of a text of known characters without runs of spaces."""
         last: list[str | None] = [None] * len(text)
-        tested = self.compatible.get
+        tested = self.compatible.new.get
         for end, (size, token) in self.automaton.iter(text):
             # all tokens that end here come one after another, the longest first
             if last[end] is None:
@@ -149,13 +175,31 @@ class PieceTable:
 
     def word(self, word: str) -> tuple[str, str]:
         """A space and ``word`` behind it, which no token reaches out of: the ids, comma-joined, and the text they stand for."""
-        ids = [i for c in self.chunks.findall(" " + word) for i in self._chunk(c.replace(" ", SPACE_MARK))]
-        found = ",".join(map(str, ids)), self._plain(ids)
-        if len(word) <= 64:  # long ones don't come back
-            if len(self.encoded) >= REMEMBERED:
-                self.encoded.clear()
-            self.encoded[word] = found
-        return found
+        if (found := self.encoded.find(word)) is not None:
+            return found
+        known, cut = self.cut.new.get, self.chunks.findall(" " + word)
+        found = [known(c) or self._cut(c) for c in cut]
+        if len(found) == 1:
+            found = found[0]
+        else:
+            ids, plain = zip(*found)
+            found = ",".join(ids), "".join(plain)
+        # long ones and those of several chunks don't come back
+        return self.encoded.put(word, found) if len(word) <= 64 and len(cut) <= 3 else found
+
+    def _cut(self, chunk: str) -> tuple[str, str]:
+        """The same of one chunk."""
+        if (found := self.cut.find(chunk)) is not None:
+            return found
+        marked = chunk.replace(" ", SPACE_MARK)
+        if marked[-1] in self.ids and marked[1:2] != SPACE_MARK:
+            tokens = self._table(marked)
+            ids, plain = ",".join([self.id_texts[t] for t in tokens]), "".join([self.plain_texts[t] for t in tokens])
+        else:
+            numbers = self._chunk(marked)
+            ids, plain = ",".join(map(str, numbers)), self._plain(numbers)
+        found = ids, chunk if plain == chunk else plain  # one string in memory
+        return self.cut.put(chunk, found) if len(chunk) <= 64 else found
 
     def joined(self, text: str) -> tuple[str, str]:
         """The ids of a text, comma-joined, and the text that they are decoded to."""
@@ -165,7 +209,7 @@ class PieceTable:
         parts = text.split(" ")  # the model puts one space before the text, so each part has one
         if "" in parts:  # spaces in a row belong to the word behind them
             parts = [p[1:] for p in _PARTS.findall(" " + text)]
-        known, word = self.encoded.get, self.word
+        known, word = self.encoded.new.get, self.word
         ids, plain = zip(*[known(w) or word(w) for w in parts])
         # a word's ids stand for the same text wherever the word is, but for the first space of all
         return ",".join(ids), "".join(plain)[1:]

@@ -54,6 +54,29 @@ def test_table_is_what_merging_gives(both):
         assert mine._table(text) == pe.merge_encode(text, mine.rank)
 
 
+def test_chunks_are_encoded_once(both, monkeypatch):
+    _, lib = both
+    mine = pe.PieceTable(pe.model_path())
+    filled = []
+    table = mine._table
+    monkeypatch.setattr(mine, "_table", lambda text: filled.append(text) or table(text))
+    stems, ends = ["the", "word", "house", "entier"], [".", ",", ".\nthe", ".\nword,", ".\nhouse.", "&&&", "###"]
+    text = " ".join(s + e for s in stems for e in ends)
+    assert mine.encode(text) == lib.encode(text)
+    assert len(filled) == len(set(filled)) <= len(stems) + 3 + 4  # with a space before and without, and what stands behind
+
+
+def test_little_memory_gives_the_same(both, monkeypatch):
+    _, lib = both
+    mine = pe.PieceTable(pe.model_path())
+    monkeypatch.setattr(pe, "REMEMBERED", 6)
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["the", "ing", " ", "  ", "\n", ".", "é", "中", "ß", "x1", "_", "S"]) for _ in range(30))
+        assert mine.joined(text) == (",".join(map(str, lib.encode(text))), lib.decode(lib.encode(text)))
+        assert all(len(m.new) <= 3 and len(m.old) <= 3 for m in (mine.compatible, mine.encoded, mine.cut))
+
+
 def test_edges_and_clashing_columns(docs, both):
     mine, lib = both
     table = docs(EDGES)
