@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import tempfile
@@ -55,6 +56,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, name: str, by: str, values: list[str]) -> dict[str, DataFrame]:
+    """The same as tables of their own, one for each of the ``values`` that the column ``by`` may have, from one pass over
+    ``df``; each without ``by`` and dropped by itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    _remember(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for value in values:
+        own = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        own.getFileSystem(conf).mkdirs(own)  # there is no folder of no rows
+        out[value] = spark.read.schema(df.drop(by).schema).parquet(f"{path}/{by}={value}")
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files that no frame reads any more go now; Spark deletes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remember(spark: SparkSession, path: str) -> None:
     """Written tables go when the application ends."""
     jvm = spark.sparkContext._jvm

@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap_of, by_key, drop_written, marked, pack, ranges, table, unpack, written
+from .common import WordHashes, bitmap_of, by_key, drop_written, marked, pack, ranges, release, table, unpack, written, written_apart
 from .components import components
 
 SIGNATURE = 64
 #: N-grams of a chunk, and bytes of text for each strip: what a task holds in memory while it counts.
 CHUNK, STRIP_BYTES = 1 << 20, 1 << 23
+#: The strips are counted in so many turns, each of which deletes what it has read.
+TURNS = 2
 #: Least and most bits of the filter that says which texts a comparison needs; in between 16 for each text.
 NEEDED_BITS = (16, 27)
 
@@ -71,17 +73,17 @@ def _node(f1: np.ndarray, f2: np.ndarray, salt: int) -> np.ndarray:
     return _mix(f1 ^ _mix(f2 + np.uint64(salt))).view(np.int64)
 
 
-def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_bits: int) -> DataFrame:
-    """Rows of three kinds: (doc, size, f1, f2) of each document, with the chunk that has its set if it is the first of its
+def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_bits: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Tables of three kinds: (doc, size, f1, f2) of each document, with the chunk that has its set if it is the first of its
     task; for each chunk of texts, with ``strip`` -1, which of the chunk's n-grams each set has; and for each chunk and
-    strip, the chunk's n-grams with the number of its sets."""
+    strip, the chunk's n-grams with the number of its sets, in TURNS tables."""
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    target = docs.sparkSession.createDataFrame([], f"doc {kind}, size int, f1 bigint, f2 bigint, chunk bigint, strip int, data binary").schema
+    target = docs.sparkSession.createDataFrame([], f"doc {kind}, size int, f1 bigint, f2 bigint, chunk bigint, strip int, data binary, kind string").schema
     schema = to_arrow_schema(target)
     shift = np.uint64(64 - bits)
 
@@ -97,9 +99,10 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
         strips = np.unique(own)
         for s, lo, hi in zip(strips.tolist(), np.searchsorted(own, strips, "left").tolist(), np.searchsorted(own, strips, "right").tolist(), strict=True):
             data.append(pack([lo], np.diff(slots[lo:hi], prepend=np.uint64(s << (bits - strip_bits))), times[lo:hi] - 1))
+        kinds = pa.array(["sets", *[f"strips{s * TURNS >> strip_bits}" for s in strips.tolist()]])
         strips = pa.array([-1, *strips.tolist()], pa.int32())
         nothing = [pa.nulls(len(data), t) for t in schema.types[:4]]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array([number] * len(data), pa.int64()), strips, pa.array(data, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([*nothing, pa.array([number] * len(data), pa.int64()), strips, pa.array(data, pa.binary()), kinds], schema=schema)
 
     def run(batches):
         words_of, seen = WordHashes(), set()
@@ -126,18 +129,19 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, bits: int, strip_
                         total += len(own)
                         chunks[-1] = number
                 columns = [ids[part].cast(schema.types[0]), pa.array(sizes, pa.int32()), pa.array([a for a, _ in fs], pa.int64()), pa.array([b for _, b in fs], pa.int64()), pa.array(chunks, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), t) for t in schema.types[5:]]], schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), t) for t in schema.types[5:7]], pa.array(["docs"] * len(sizes))], schema=schema)
         if sets:
             yield chunk_rows(number, sets, marks)
 
-    return written(plain.mapInArrow(run, target), "sets")
+    turns = [f"strips{i}" for i in range(TURNS)]
+    made = written_apart(plain.mapInArrow(run, target), "sets", "kind", ["docs", "sets", *turns])
+    of_chunk = ["chunk", "strip", "data"]
+    return made["docs"].select("doc", "size", "f1", "f2", "chunk"), made["sets"].select(of_chunk), [made[t].select(of_chunk) for t in turns]
 
 
-def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, bits: int, strips: int, salt: int) -> DataFrame:
-    """(gram, node, size, shared, rank, slots) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
-    n-grams are such, ``rank`` of them come before this one in the order; ``slots``, with a set's first entry alone, is how
-    many of them are in each of SIGNATURE parts of the hash space. Of a set that several chunks have, one chunk gives the
-    entries."""
+def _answers(turn: DataFrame, strips: int) -> DataFrame:
+    """(chunk, strip, data): of each chunk and strip, the n-grams that several sets have, with their numbers. The strips'
+    table, ``turn``, is deleted."""
     import pyarrow as pa
 
     def add(batches):
@@ -159,6 +163,19 @@ def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, bits: int, strips:
                 at += len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "strip", "data"])
 
+    answers = written(turn.repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(add, "chunk bigint, strip int, data binary"), "answers")
+    drop_written(turn)
+    release(turn.sparkSession)
+    return answers
+
+
+def _prefixes(sets: DataFrame, answers: DataFrame, rows: DataFrame, percent: int, bits: int, strips: int, salt: int) -> DataFrame:
+    """(gram, node, size, shared, rank, slots) of the prefix entries whose n-gram several sets have. ``shared`` of the set's
+    n-grams are such, ``rank`` of them come before this one in the order; ``slots``, with a set's first entry alone, is how
+    many of them are in each of SIGNATURE parts of the hash space. Of a set that several chunks have, one chunk gives the
+    entries."""
+    import pyarrow as pa
+
     def choose(batches):
         for _, kinds, parts, skip_1, skip_2 in by_key(batches, 0):
             own = kinds.index(-1)
@@ -198,13 +215,11 @@ def _prefixes(sets: DataFrame, rows: DataFrame, percent: int, bits: int, strips:
                 columns = [np.concatenate(grams), node[d], sizes[d].astype(np.int32), np.concatenate(shared), np.concatenate(rank)]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(slots_of, pa.list_(pa.int32()))], names=["gram", "node", "size", "shared", "rank", "slots"])
 
-    parts = sets.where("strip is not null").select("chunk", "strip", "data")
-    answers = parts.where("strip >= 0").repartition(strips, "strip").sortWithinPartitions("strip").mapInArrow(add, "chunk bigint, strip int, data binary")
     # sets that stand in several chunks: all but one of these leave them out
     stands = rows.where("chunk is not null").select("f1", "f2", "chunk")
     several = stands.groupBy("f1", "f2").agg(F.min("chunk").alias("own"), F.count("*").alias("n")).where("n > 1").select("f1", "f2", "own")
     elsewhere = stands.join(several, ["f1", "f2"]).where("chunk <> own").select("chunk", F.lit(-2).alias("strip"), F.lit(None).cast("binary").alias("data"), "f1", "f2")
-    by_chunk = parts.where("strip < 0").unionByName(answers).unionByName(elsewhere, allowMissingColumns=True)
+    by_chunk = sets.unionByName(answers).unionByName(elsewhere, allowMissingColumns=True)
     return by_chunk.repartition(strips, "chunk").sortWithinPartitions("chunk").mapInArrow(choose, "gram bigint, node bigint, size int, shared int, rank int, slots array<int>")
 
 
@@ -293,7 +308,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    whole = hopeful.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    # the pairs left are few: only their sets are moved
+    whole_a, whole_b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")).join(hopeful.select(c), c, "left_semi") for c in ("a", "b"))
+    whole = hopeful.join(whole_a, "a").join(whole_b, "b")
     links = written(whole.select("a", "b", "ga", "gb").mapInArrow(verify, "a bigint, b bigint"), "links")
     drop_written(hopeful)
     return links
@@ -344,8 +361,9 @@ def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     reach = F.floor(F.col("shared") * F.lit(100 + percent) / F.lit(percent)) - F.col("size")
     own = entries.drop("hub").withColumn("reach", reach)
     fits = own.groupBy("gram").agg(F.min("size").alias("_least"), F.max("reach").alias("_most"))
-    slots = written(_shared_slots(entries.select("node").distinct(), sets), "slots")
-    own = own.join(fits, "gram").where("reach >= _least and size <= _most").drop("_least", "_most", "reach").join(slots, "node")
+    own = written(own.join(fits, "gram").where("reach >= _least and size <= _most").drop("_least", "_most", "reach"), "fitting")
+    slots = written(_shared_slots(own.select("node").distinct(), sets), "slots")
+    own = own.join(slots, "node")
     s, t = own.alias("s"), own.alias("t")
     can = _worth("s", "t", percent) & _enough(_common_slots("s.slots", "t.slots"), F.col("s.size"), F.col("t.size"), percent)
     pairs = s.join(t, (F.col("s.gram") == F.col("t.gram")) & (F.col("s.component") != F.col("t.component")) & (F.col("s.node") < F.col("t.node")) & can)
@@ -364,10 +382,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     bits, strip_bits = max(24, min(62, size.bit_length() + 4)), max(4, min(20, (size // STRIP_BYTES).bit_length()))
-    made = _sets(docs, n, id_col, text_col, bits, strip_bits)
-    rows = written(made.where("size is not null").select("doc", "size", "f1", "f2", "chunk"), "rows")
+    rows, own, turns = _sets(docs, n, id_col, text_col, bits, strip_bits)
+    answered = [_answers(turn, 1 << strip_bits) for turn in turns]
     for salt in count(1):
-        entries = written(_prefixes(made, rows, percent, bits, 1 << strip_bits, salt), "entries")
+        entries = written(_prefixes(own, reduce(DataFrame.unionByName, answered), rows, percent, bits, 1 << strip_bits, salt), "entries")
+        release(docs.sparkSession)
         left = written(_open(entries.drop("slots")), "open")
         nodes = _nodes(rows, left, salt)
         slots = written(entries.where("slots is not null").select("node", "slots").join(nodes.select("node"), "node", "left_semi"), "slots")
@@ -376,9 +395,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             break
         for old in (left, nodes, slots):  # two sets have one number: other numbers
             drop_written(old)
-    drop_written(made)
+    for done in (own, *answered):
+        drop_written(done)
+    release(docs.sparkSession)
     sets = _node_sets(docs, nodes, slots, n, id_col, text_col, salt)
     drop_written(slots)
+    release(docs.sparkSession)
 
     found = None
     links, tested = [], []
@@ -401,6 +423,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             if found is not None:
                 drop_written(found)
             found = components(reduce(DataFrame.unionByName, links))
+        del pairs
+        release(docs.sparkSession)
     for done in (left, sets, *tested, *links):
         drop_written(done)
 

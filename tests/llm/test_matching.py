@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from loomframe.llm import components, decontamination, near_duplicates, personal_data, tool_calls
+from loomframe.llm.common import shared_dir
 
 from .edges import EDGES
 
@@ -74,6 +75,28 @@ def test_one_row_of_each_group_is_kept(docs):
     assert sorted(kept, key=repr) == sorted([(1, "a b c d e f"), (1, "q r s"), (None, "x"), (None, None), (1, None)], key=repr)
 
 
+def test_counted_strips_are_deleted(spark, docs, monkeypatch):
+    """When prefixes are chosen, no table has the strips any more that n-grams were counted from."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    root, seen = shared_dir(spark), []
+    before, choose = set(glob.glob(f"{root}/sets-*")), near_duplicates._prefixes
+
+    def look(*given):
+        for path in set(glob.glob(f"{root}/sets-*")) - before:
+            seen.extend(x for f in glob.glob(f"{path}/**/*.parquet", recursive=True) for x in pq.ParquetFile(f).read(["strip"])["strip"].to_pylist() if x is not None)
+        return choose(*given)
+
+    monkeypatch.setattr(near_duplicates, "_prefixes", look)
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(20)]
+    got = {r["doc_id"]: r for r in near_duplicates.group(docs(texts * 2), n=3, percent=70).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(40)] == brute_groups(texts * 2, 3, 70)
+    assert set(seen) == {-1}
+
+
 def test_packed_numbers():
     columns = [np.array([0, 5, 1 << 40], np.uint64), np.zeros(0, np.uint64), np.array([255]), np.zeros(3, int), np.array([(1 << 64) - 1], np.uint64)]
     assert [x.tolist() for x in near_duplicates.unpack(near_duplicates.pack(*columns))] == [x.tolist() for x in columns]
