@@ -57,6 +57,26 @@ def _parts(batches, column: int = 0):
             yield batch, part, texts[part].to_pylist()
 
 
+def _looked_up(batches, words: list[bytes], column: int = 0):
+    """Some megabytes of texts at a time, with the batch they are of and their place in it: their words as ``tokens`` has
+    them, in one Arrow column; each word's number in ``words``, one more if it isn't there, with END after each text; and
+    how many numbers each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table, end = pa.array(words, pa.binary()).cast(pa.string()), words.index(END)
+    for batch in batches:
+        texts = batch.column(column)
+        for part in ranges(pc.binary_length(texts).to_pylist()):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[part].fill_null("")))
+            flat = lists.flatten()
+            given = pc.not_equal(flat, "")  # white space at either end leaves an empty string
+            before = np.append(0, np.cumsum(given.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]
+            own = flat.filter(given)
+            numbers = pc.index_in(own, value_set=table).fill_null(len(words)).to_numpy().astype(np.int64)
+            yield batch, part, own, np.insert(numbers, before[1:], end), np.diff(before) + 1
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): how often each word, or END, stands in all texts. Null and empty texts have END alone."""
     import pyarrow as pa
@@ -102,19 +122,14 @@ def _least_common(counts: DataFrame, common: int) -> int:
 
 
 def numbered(docs: DataFrame, number_of: dict[bytes, int], text_col: str = "text") -> DataFrame:
-    """(data): the texts as numbers of common words, one number more for all others, END before the first and after each."""
+    """(data): the texts as numbers of common words, which count from 0 in the order given, one number more for all others, END before the first and after each."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(number_of)
 
     def run(batches):
-        get, other, end = shared.value.get, len(shared.value), shared.value[END]
-        for _, _, texts in _parts(batches):
-            ids = [end]
-            for text in texts:
-                ids += [get(w, other) for w in tokens(text)]
-                ids.append(end)
-            yield pa.RecordBatch.from_arrays([pa.array([pack(np.array(ids))], pa.binary())], names=["data"])
+        for _, _, _, ids, _ in _looked_up(batches, list(shared.value)):
+            yield pa.RecordBatch.from_arrays([pa.array([pack(np.append(shared.value[END], ids))], pa.binary())], names=["data"])
 
     return written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "data binary"), "numbers")
 
@@ -293,23 +308,24 @@ def _tail(docs: DataFrame, classes: dict[bytes, int], M: np.ndarray, k: int, tex
     width = k + 1
 
     def look(batches):
-        get, end = shared.value[0].get, shared.value[0][END]
+        classes = shared.value[0]
+        class_of, end = np.append(np.fromiter(classes.values(), np.int64, len(classes)), k), classes[END]
         found: Counter = Counter()
 
         def hand_on():
-            words = pa.array([w for w, _ in found], pa.binary()).cast(pa.string())
+            words = pa.array([w for w, _ in found], pa.string())
             return pa.RecordBatch.from_arrays([words, pa.array([x for _, x in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "place", "n"])
 
-        for _, _, texts in _parts(batches):
-            for text in texts:
-                words = tokens(text)
-                own = [get(w, k) for w in words]
-                if k in own:
-                    own.append(end)  # also what stands before the first word, at -1
-                    found.update([(w, own[i - 1] * width + own[i + 1]) for i, w in enumerate(words) if own[i] == k])
-            if len(found) > COUNTED // 2:
-                yield hand_on()
-                found.clear()
+        for _, _, words, ids, sizes in _looked_up(batches, list(classes)):
+            own = np.append(end, class_of[ids])  # before each text stands END, that of the text before or the first one
+            text_of = np.repeat(np.arange(len(sizes)), sizes)  # as many ENDs are before a word
+            rare = np.flatnonzero(ids == len(classes))
+            for at in (rare[i : i + 50_000] for i in range(0, len(rare), 50_000)):
+                places = own[at] * width + own[at + 2]
+                found.update(zip(words.take(pa.array(at - text_of[at])).to_pylist(), places.tolist(), strict=True))
+                if len(found) > COUNTED // 2:
+                    yield hand_on()
+                    found.clear()
         yield hand_on()
 
     def decide(batches):
@@ -445,21 +461,14 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         number_of, class_of, known, known_base, known_score, step = shared.value
-        get, end, other = number_of.get, number_of[END], len(number_of)
+        end = number_of[END]
 
         def listed(mask: np.ndarray, starts: np.ndarray, **columns):
             offsets = np.append(0, np.cumsum(np.add.reduceat(mask.astype(np.int64), starts))).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
-        for batch, part, texts in _parts(batches, 1):
-            words, sizes = [], []
-            for text in texts:
-                own = tokens(text)
-                words += own
-                words.append(END)
-                sizes.append(len(own) + 1)
-            ids = np.array([get(w, other) for w in words], np.int64)
-            sizes = np.array(sizes, np.int64)
+        for batch, part, words, ids, sizes in _looked_up(batches, list(number_of), 1):
+            text_of = np.repeat(np.arange(len(sizes)), sizes)  # as many ENDs are before a word
             starts = np.cumsum(sizes) - sizes
             classes = class_of[np.append(end, ids)]  # before each text stands END, that of the text before or the first one
             left, own = classes[:-1], classes[1:]
@@ -468,7 +477,7 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
             is_open = own < 0
             at = np.flatnonzero(is_open)
             is_near = is_open & np.append(is_open[1:], False)  # a text ends with END, which isn't
-            word = lambda places: pa.array([words[i] for i in places], pa.binary()).cast(pa.string())  # noqa: E731, B023
+            word = lambda places: words.take(pa.array(places - text_of[places]))  # noqa: E731, B023
             pairs = np.flatnonzero(is_near)
             opens = listed(is_open, starts, word=word(at), left=pa.array(left[at].astype(np.int32)), right=pa.array(own[at + 1].astype(np.int32)))
             nears = listed(is_near, starts, a=word(pairs), b=word(pairs + 1))

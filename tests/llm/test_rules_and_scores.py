@@ -308,3 +308,17 @@ def test_exchange_finds_classes_and_never_loses_likelihood():
                 other = cls.copy()
                 other[u] = k
                 assert likelihood(pairs, other) <= likelihood(pairs, cls) + 1e-6
+
+
+def test_words_looked_up_are_the_tokens():
+    """Whole batches at once, against text by text: odd white space, other alphabets' capitals, null and empty texts."""
+    import pyarrow as pa
+
+    texts = [*EDGES, "\x1c a\x1d\x85 B c\x00 É\x0b\x0cZ ", " x", "\n\n", None, "", "a X"]
+    words = [b"x", class_lm.END, b"a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    ((_, _, own, numbers, sizes),) = class_lm._looked_up([batch], words, 1)
+    each = [class_lm.tokens(t) for t in texts]
+    assert [w.encode() for w in own.to_pylist()] == [w for t in each for w in t]
+    assert numbers.tolist() == [words.index(w) if w in words else 3 for t in each for w in [*t, class_lm.END]]
+    assert sizes.tolist() == [len(t) + 1 for t in each]
