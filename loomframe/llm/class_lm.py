@@ -33,6 +33,8 @@ from .common import by_key, drop_written, fold, pack, ranges, table, unpack, wri
 END = b" "
 #: Words a task counts before it hands them on.
 COUNTED = 500_000
+#: Pairs of a word and a class beside it that a task counts before it hands them on.
+PLACES = 1 << 20
 #: This many words, the commonest, are broadcast with their counts and classes, at most.
 COMMON = 1 << 17
 #: Most classes; there is one for the cube root of the number of distinct words up to that.
@@ -255,6 +257,33 @@ def best_classes(before: np.ndarray, after: np.ndarray, times: np.ndarray, own:
     return worth.argmax(1)
 
 
+def _cells(batches, class_of: np.ndarray, m: int, k: int):
+    """Of texts as numbers of words, some at a time: a number for each common word and the class before it, and for each
+    and the class after it. Words are in the order of their numbers, each with k + 1 classes before and k + 1 after."""
+    width = 2 * (k + 1)
+    for batch in batches:
+        for data in batch.column(0):
+            a = unpack(data.as_py())[0].astype(np.int64)
+            for part in (a[i : i + PLACES + 1] for i in range(0, len(a) - 1, PLACES)):
+                c = class_of[part]
+                for words, at in ((part[1:], c[:-1]), (part[:-1], c[1:] + k + 1)):
+                    known = words < m
+                    yield words[known] * width + at[known]
+
+
+def _counted(parts):
+    """Distinct numbers in order and how often each stands in the arrays, for some PLACES of them at a time: what a task
+    holds doesn't grow with the number of words, classes or texts."""
+    held: list = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= PLACES:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held = []
+    if held:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 def _exchanged(numbers: DataFrame, class_of: np.ndarray, M: np.ndarray, k: int) -> np.ndarray:
     """One round over all common words at once: their classes after it. ``class_of`` ends with what is none (k)."""
     import pyarrow as pa
@@ -264,18 +293,13 @@ def _exchanged(numbers: DataFrame, class_of: np.ndarray, M: np.ndarray, k: int)
     step = -(-m // STRIPS)
 
     def count(batches):
-        classes, total = shared.value[0].astype(np.int64), np.zeros(m * width, np.int32)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                a = unpack(data)[0].astype(np.int64)
-                c = classes[a]
-                for words, at in ((a[1:], c[:-1]), (a[:-1], c[1:] + k + 1)):
-                    known = words < m
-                    np.add.at(total, words[known] * width + at[known], 1)
-        for s in range(STRIPS):
-            cells = np.flatnonzero(part := total[s * step * width : (s + 1) * step * width])
-            if len(cells):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(np.diff(cells, prepend=0), part[cells] - 1)], pa.binary())], names=["strip", "data"])
+        classes = shared.value[0].astype(np.int64)
+        for cells, n in _counted(_cells(batches, classes, m, k)):
+            cuts = np.searchsorted(cells, np.arange(STRIPS + 1) * step * width)
+            for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if lo < hi:
+                    steps = np.diff(cells[lo:hi], prepend=s * step * width)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(steps, n[lo:hi] - 1)], pa.binary())], names=["strip", "data"])
 
     def decide(batches):
         classes, pairs = shared.value

@@ -322,3 +322,43 @@ def test_words_looked_up_are_the_tokens():
     assert [w.encode() for w in own.to_pylist()] == [w for t in each for w in t]
     assert numbers.tolist() == [words.index(w) if w in words else 3 for t in each for w in [*t, class_lm.END]]
     assert sizes.tolist() == [len(t) + 1 for t in each]
+
+
+def test_exchange_counts_in_bounded_memory(spark, monkeypatch):
+    """What a task holds while it counts the classes beside words doesn't grow with the words; the parts add up to the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    m, k = 1 << 22, 40  # a table of all words and classes would take 1.4 GB
+    texts = [rng.integers(0, m + 1, n) for n in (0, 1, 2, 3000, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([class_lm.pack(t) for t in texts], pa.binary())], names=["data"])
+    classes = np.append(rng.integers(0, k, m), k)
+    tracemalloc.start()
+    monkeypatch.setattr(class_lm, "PLACES", 64)
+    parts = list(class_lm._counted(class_lm._cells([batch], classes, m, k)))
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+    got, want = collections.Counter(), collections.Counter()
+    for cells, n in parts:
+        assert len(cells) <= 4 * 64
+        got.update(dict(zip(cells.tolist(), n.tolist(), strict=True)))
+    for t in texts:
+        for a, b in zip(t[:-1], t[1:], strict=True):
+            want.update([int(b) * 2 * (k + 1) + int(classes[a])] if b < m else [])
+            want.update([int(a) * 2 * (k + 1) + k + 1 + int(classes[b])] if a < m else [])
+    assert len(parts) > 10 and got == want
+
+    # one round of exchange decides by the sums over all tasks
+    m, k, texts = 300, 5, [rng.integers(0, 301, 2000) for _ in range(6)]
+    numbers = spark.createDataFrame([(class_lm.pack(t),) for t in texts], "data binary").repartition(3)
+    classes = np.append(rng.integers(0, k, m), k).astype(np.int16)
+    M = rng.poisson(30, (k + 1, k + 1))
+    before, after = np.zeros((2, m + 1, k + 1), int)
+    for t in texts:
+        np.add.at(before, (t[1:], classes[t[:-1]]), 1)
+        np.add.at(after, (t[:-1], classes[t[1:]]), 1)
+    want = class_lm.best_classes(before[:m, :k], after[:m, :k], before[:m].sum(1), classes[:m].astype(int), M)
+    got = class_lm._exchanged(numbers, classes, M, k)
+    assert (got[:m] == want).all() and got[m] == k and (got != classes).any()
