@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -127,6 +128,12 @@ class PieceTable:
         self.compatible, self.encoded, self.cut = Memory(), Memory(), Memory()
         self.spaces = lru_cache(maxsize=4096)(self._spaces)
 
+    def for_task(self) -> PieceTable:
+        """The same table, which remembers for itself what it encodes; that goes when the task lets go of it."""
+        own = copy(self)
+        own.compatible, own.encoded, own.cut = Memory(), Memory(), Memory()
+        return own
+
     def _pair(self, left: str, right: str) -> bool:
         """Whether the two tokens stay as they are when they meet."""
         known = self.compatible.find((left, right))
@@ -278,7 +285,7 @@ _TABLES: dict[str, PieceTable] = {}
 
 
 def load(model_file: str) -> PieceTable:
-    """One table a process and model."""
+    """One table a process and model; tasks take it with a memory of their own, so an idle process holds the table alone."""
     if model_file not in _TABLES:
         _TABLES[model_file] = PieceTable(model_file)
     return _TABLES[model_file]
@@ -294,7 +301,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def start():
-        pieces = load(model_file)
+        pieces = load(model_file).for_task()
 
         def work(ids, texts):
             both = [pieces.joined(t or "") for t in texts]
@@ -314,7 +321,7 @@ def decode(coded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: s
     kind = coded.select(id_col).schema[0].dataType.simpleString()
 
     def start():
-        pieces = load(model_file)
+        pieces = load(model_file).for_task()
 
         def work(keys, texts):
             return keys, [pieces.decode([int(x) for x in t.split(",")]) if t else "" for t in texts]
@@ -330,7 +337,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def start():
-        pieces = load(model_file)
+        pieces = load(model_file).for_task()
 
         def one(text):
             ids, plain = pieces.joined(text or "")

@@ -86,3 +86,23 @@ def test_edges_and_clashing_columns(docs, both):
     back = pe.decode(pe.encode(table, pe.model_path(), with_text=False), pe.model_path())
     assert {r["doc_id"]: r["decoded"] for r in back.collect()} == {i: r["decoded"] for i, r in got.items()}
     assert pe.digests(table.limit(0), pe.model_path()).count() == 0
+
+
+def test_tasks_leave_nothing_remembered(spark, docs):
+    """What a task has remembered goes with it; the process, which may stand by for long, keeps the table alone."""
+    import pyarrow as pa
+
+    texts = docs([f"word{i} is {i} times remembered" for i in range(200)]).repartition(8)
+    assert pe.encode(texts, pe.model_path()).agg({"n_tokens": "sum"}).first()[0] > 1000
+    assert pe.digests(texts, pe.model_path()).where("n_tokens > 5").count() == 200
+
+    def remembered(batches):
+        for _ in batches:
+            from loomframe.llm import piece_encoding
+
+            for table in piece_encoding._TABLES.values():
+                n = sum(len(m.new) + len(m.old) for m in (table.compatible, table.encoded, table.cut))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    left = [r[0] for r in spark.range(0, 16, 1, 16).mapInArrow(remembered, "n bigint").collect()]
+    assert left and max(left) == 0
