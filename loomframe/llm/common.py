@@ -73,7 +73,9 @@ def written_apart(df: DataFrame, name: str, by: str, values: list[str]) -> dict[
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files that no frame reads any more go now; Spark deletes them when the driver collects its garbage."""
+    """Shuffle files that no frame reads any more go now; Spark deletes them when the driver collects its garbage. Its
+    listeners hold the query that ran last, so a query of one row runs before that."""
+    spark.range(0, 1, 1, 1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

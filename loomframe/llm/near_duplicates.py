@@ -39,8 +39,9 @@ SIGNATURE = 64
 CHUNK, STRIP_BYTES = 1 << 20, 1 << 23
 #: The strips are counted in so many turns, each of which deletes what it has read.
 TURNS = 2
-#: Least and most bits of the filter that says which texts a comparison needs; in between 16 for each text.
-NEEDED_BITS = (16, 27)
+#: Least and most bits (as powers of two) of the filters that say which texts and sets a step needs; in between 16 for each
+#: text, MARKED for each set.
+NEEDED_BITS, MARKED = (16, 27), 1024
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -238,6 +239,10 @@ def _nodes(rows: DataFrame, entries: DataFrame, salt: int) -> DataFrame:
     return written(own.groupBy("node", "f1", "f2").agg(F.min("doc").alias("doc")), "nodes")
 
 
+def _bits(nodes: DataFrame, each: int) -> int:
+    return max(NEEDED_BITS[0], min(NEEDED_BITS[1], int(nodes.count() * each).bit_length()))
+
+
 def _node_sets(docs: DataFrame, nodes: DataFrame, slots: DataFrame, n: int, id_col: str, text_col: str, salt: int) -> DataFrame:
     """(node, size, slots, grams) of every node: the texts that make them are read once more, and no others are cut up."""
     import pyarrow as pa
@@ -245,8 +250,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, slots: DataFrame, n: int, id_c
 
     spark = docs.sparkSession
     wanted = nodes.select(F.xxhash64("doc").alias("h"))
-    bits = max(NEEDED_BITS[0], min(NEEDED_BITS[1], int(nodes.count() * 16).bit_length()))
-    needed = spark.sparkContext.broadcast(bitmap_of(wanted, bits))  # 2 ** NEEDED_BITS[1] bits at most
+    needed = spark.sparkContext.broadcast(bitmap_of(wanted, _bits(nodes, 16)))  # 2 ** NEEDED_BITS[1] bits at most
 
     def run(batches):
         words_of, marks, seen = WordHashes(), np.frombuffer(zlib.decompress(needed.value), np.uint8), set()
@@ -334,16 +338,22 @@ def _led(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_slots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, slots) of these ``nodes``: in each part of the hash space, how many n-grams another one of them has as well."""
+    """(node, slots) of these ``nodes`` and maybe others: in each part of the hash space, how many n-grams another one of them
+    has as well."""
     import pyarrow as pa
 
+    needed = nodes.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select(F.xxhash64("node").alias("h")), _bits(nodes, MARKED)))
+
     def spread(batches):
+        marks = np.frombuffer(zlib.decompress(needed.value), np.uint8)
         for batch in batches:
-            for node, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            keep = pa.array(marked(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), marks))
+            for node, data in zip(*[c.filter(keep).to_pylist() for c in batch.columns[1:]], strict=True):
                 grams = np.frombuffer(data, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node)), pa.array(grams)], names=["node", "gram"])
 
-    grams = sets.join(nodes, "node", "left_semi").select("node", "grams").mapInArrow(spread, "node bigint, gram bigint")
+    # the sets stay where they are; the few others that the bitmap lets through only let more pairs pass the filter
+    grams = sets.select(F.xxhash64("node").alias("h"), "node", "grams").mapInArrow(spread, "node bigint, gram bigint")
     several = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     part = F.shiftrightunsigned("gram", 58).cast("int").alias("part")
     counts = grams.join(several, "gram", "left_semi").groupBy("node", part).agg(F.count("*").cast("int").alias("n"))

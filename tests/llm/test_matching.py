@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from loomframe.llm import components, decontamination, near_duplicates, personal_data, tool_calls
-from loomframe.llm.common import shared_dir
+from loomframe.llm.common import drop_written, release, shared_dir, written
 
 from .edges import EDGES
 
@@ -97,6 +97,51 @@ def test_counted_strips_are_deleted(spark, docs, monkeypatch):
     assert set(seen) == {-1}
 
 
+def test_shuffle_files_of_the_last_query_go(spark):
+    import time
+
+    blocks = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in b}
+    before = blocks()
+    drop_written(written(spark.range(2000).repartition(7, "id"), "moved"))
+    assert blocks() - before
+    release(spark)
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.2)
+    assert not blocks() - before
+
+
+def test_shared_slots(spark):
+    """Counts against brute force, n-grams that only other sets have left out; no set is sent through a shuffle."""
+    rnd = np.random.default_rng(6)
+    some = rnd.integers(-(1 << 63), 1 << 63, 300)
+    own = {int(n): np.unique(rnd.choice(some, 40)) for n in rnd.integers(-(1 << 63), 1 << 63, 12)}
+    sets = spark.createDataFrame([(n, len(g), bytearray(g.tobytes())) for n, g in own.items()], "node bigint, size int, grams binary")
+    wanted = list(own)[:8]
+    frame = near_duplicates._shared_slots(spark.createDataFrame([(n,) for n in wanted], "node bigint"), sets)
+    got = {r["node"]: r["slots"] for r in frame.collect()}
+    times = collections.Counter(int(g) for n in wanted for g in own[n])
+    for n in wanted:
+        slots = [0] * near_duplicates.SIGNATURE
+        for g in own[n].tolist():
+            slots[(g % (1 << 64)) >> 58] += times[g] > 1
+        assert got[n] == slots
+    assert 1 in times.values()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = near_duplicates._shared_slots(spark.createDataFrame([(n,) for n in wanted], "node bigint"), sets)
+        plan = frame._jdf.queryExecution().executedPlan()
+        stack = [plan.initialPlan()]
+        while stack:
+            p = stack.pop()
+            assert p.nodeName() != "Exchange" or "grams#" not in p.output().mkString(",")
+            stack.extend(p.children().apply(i) for i in range(p.children().size()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
 def test_packed_numbers():
     columns = [np.array([0, 5, 1 << 40], np.uint64), np.zeros(0, np.uint64), np.array([255]), np.zeros(3, int), np.array([(1 << 64) - 1], np.uint64)]
     assert [x.tolist() for x in near_duplicates.unpack(near_duplicates.pack(*columns))] == [x.tolist() for x in columns]
