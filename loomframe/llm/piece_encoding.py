@@ -285,7 +285,7 @@ _TABLES: dict[str, PieceTable] = {}
 
 
 def load(model_file: str) -> PieceTable:
-    """One table a process and model; tasks take it with a memory of their own, so an idle process holds the table alone."""
+    """One table a process and model. ``encode`` takes it with a memory for each task, so that idle processes hold the table alone."""
     if model_file not in _TABLES:
         _TABLES[model_file] = PieceTable(model_file)
     return _TABLES[model_file]
@@ -337,7 +337,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def start():
-        pieces = load(model_file).for_task()
+        pieces = load(model_file)  # remembers from task to task, which spares CPU time
 
         def one(text):
             ids, plain = pieces.joined(text or "")
