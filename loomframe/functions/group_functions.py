@@ -90,6 +90,29 @@ class Rows(Function):
         raise NotImplementedError
 
 
+def _kind(c: ColumnRef) -> T.DataType:
+    return c.dataset.df.select(c.dataset.column(c.name)).schema[0].dataType
+
+
+def _tie(c: Column, kind: T.DataType, down: bool) -> Column:
+    """What values of one key are told apart by: it sorts as they do, or with ``down`` the other way round; null fields
+    are least, and types without a case of their own (arrays and maps among them) go by their text."""
+    if isinstance(kind, T.StructType):
+        fields = [(c.getField(f.name), f.dataType) for f in kind.fields]
+        return F.struct(F.lit(0).alias("_"), *[x for i, (v, t) in enumerate(fields) for x in ((v.isNull() if down else v.isNotNull()).alias(f"_n{i}"), _tie(v, t, down).alias(f"_v{i}"))])
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c) if down else c
+    if isinstance(kind, T.FractionalType):
+        return F.struct(~F.isnan(c.cast("double")), -c) if down else c
+    if isinstance(kind, T.BooleanType):
+        return ~c if down else c
+    if kind.typeName() in ("date", "timestamp"):
+        moment = F.unix_date(c) if kind.typeName() == "date" else F.unix_micros(c)
+        return F.bitwise_not(moment) if down else moment
+    text = c if isinstance(kind, T.BinaryType) else c.cast("string")
+    return F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")) if down else text
+
+
 class Counts(Aggregate):
     """Values that aren't null; the empty string counts."""
 
@@ -100,25 +123,33 @@ class Counts(Aggregate):
 
 
 class Max(Aggregate):
-    """Greatest value, nulls left out; strings as strings. With ``key``, the value whose key is greatest."""
+    """Greatest value, nulls left out; strings as strings. With ``key``, the value whose key is greatest, of several such
+    the least, so it is the same in every run."""
 
     def __init__(self, c: ColumnRef, key: Callable[[Column], Column] | None = None):
         super().__init__(c)
         self.key, self.windowable = key, key is None
 
     def build(self, c: Column) -> Column:
-        return F.max(c) if self.key is None else F.max_by(c, F.when(c.isNotNull(), self.key(c)))
+        if self.key is None:
+            return F.max(c)
+        key = self.key(c)
+        return F.max_by(c, F.when(c.isNotNull() & key.isNotNull(), F.struct(key.alias("k"), _tie(c, _kind(self.inputs[0]), True).alias("v"))))
 
 
 class Min(Aggregate):
-    """Least value, nulls left out; strings as strings. With ``key``, the value whose key is least."""
+    """Least value, nulls left out; strings as strings. With ``key``, the value whose key is least, of several such the
+    least, so it is the same in every run."""
 
     def __init__(self, c: ColumnRef, key: Callable[[Column], Column] | None = None):
         super().__init__(c)
         self.key, self.windowable = key, key is None
 
     def build(self, c: Column) -> Column:
-        return F.min(c) if self.key is None else F.min_by(c, F.when(c.isNotNull(), self.key(c)))
+        if self.key is None:
+            return F.min(c)
+        key = self.key(c)
+        return F.min_by(c, F.when(c.isNotNull() & key.isNotNull(), F.struct(key.alias("k"), _tie(c, _kind(self.inputs[0]), False).alias("v"))))
 
 
 class Sum(Aggregate):
@@ -145,9 +176,7 @@ class Avg(Aggregate):
     def build(self, c: Column) -> Column:
         if self.time:
             moment = F.timestamp_millis(F.avg(F.unix_millis(c.cast("timestamp"))).cast("bigint"))
-            own = self.inputs[0].dataset
-            kind = own.df.select(own.column(self.inputs[0].name)).schema[0].dataType
-            return moment.cast("date") if isinstance(kind, T.DateType) else moment
+            return moment.cast("date") if isinstance(_kind(self.inputs[0]), T.DateType) else moment
         if self.scale is None:
             return F.avg(c.cast("double"))
         return F.round(F.avg(c.cast("decimal(38,18)")), self.scale)

@@ -1,6 +1,7 @@
 """Nulls, types and edges of readers, predicates and functions."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,26 @@ def test_empty_inputs(spark):
     d = frame(spark, "d", [], "k string, v int")
     assert rows(group(d).by("k").select(d["k"], Counts(d["v"]), Top([d["v"]], 1))) == []
     assert rows(left_outer_join(d, frame(spark, "e", [("a",)], "k string")).on(equal(d["k"], frame(spark, "e", [("a",)], "k string")["k"])).select(d["v"], frame(spark, "e", [("a",)], "k string")["k"])) == []
+
+
+def test_of_several_values_with_the_same_key_the_least_is_taken(spark):
+    """In whatever order the rows come, for each type; the first of each list is the least."""
+    kinds = {
+        "a bigint": [-(2**63), -1, 5], "b double": [-2.5, 0.0, float("inf")], "c decimal(9,2)": [Decimal("-1.5"), Decimal(2), Decimal(10)], "d boolean": [False, True, True], "e string": ["", "a", "ab"], "f binary": [b"a", b"ab", b"b"],
+        "g date": [dt.date(1900, 1, 1), dt.date(1970, 1, 1), dt.date(2020, 1, 2)], "h timestamp": [dt.datetime(1969, 1, 1), dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1, 0, 0, 0, 1)],
+        "i struct<x:int,y:string>": [(None, "z"), (1, ""), (1, "x")], "j array<int>": [[1], [2], [3]], "k map<string,int>": [{"a": 1}, {"b": 1}, {"c": 1}],
+    }
+    names, up = [k.partition(" ")[0] for k in kinds], list(zip(*kinds.values(), strict=True))
+    for placed in (up, up[::-1]):
+        d = from_dataframe("d", spark.createDataFrame([(0, *r) for r in [[None] * len(names), *placed]], ", ".join(["z int", *kinds])).coalesce(1))
+        for f in (Max, Min):
+            found = group(d).by("z").select(*[f(d[n], key=lambda c: F.lit(1.5)).rename(n) for n in names]).df.first()
+            assert tuple(found) == up[0]
+
+
+def test_keys_that_are_null_or_not_numbers(spark):
+    d = frame(spark, "d", [(0, 1.5, "b"), (0, float("nan"), "d"), (0, float("nan"), "c"), (0, None, "a"), (0, -1.0, "z"), (0, -1.0, "y"), (1, None, "x")], "g int, k double, v string")
+    d = d.compute(both=lambda c: F.struct(c("k"), c("v")))
+    key = lambda c: c["k"]
+    got = group(d).by("g").select(d["g"], Max(d["both"], key=key).rename("most"), Min(d["both"], key=key).rename("least")).df.select("g", "most.v", "least.v").collect()
+    assert sorted(map(tuple, got)) == [(0, "c", "y"), (1, None, None)]
