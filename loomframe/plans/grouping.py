@@ -5,9 +5,10 @@ aggregate, and one list of rows for each function that gives many; the result is
 one dataset aren't inflated by the rows that another one matches. In Spark: every dataset is brought to its own part,
 aggregated before it is joined, and the parts are joined on the keys, null with null.
 
-A key is two columns from the start: its value, with a stand-in for null, and whether it is null. So parts are grouped and
-joined by plain equality of the same columns, and what one aggregation has shuffled needs no other shuffle to be joined.
-Key columns beside aggregates are read from the groups' own keys.
+A key is its value, with a stand-in for null, from the start, and a bit of a column that says which of the keys are null. So
+parts are grouped and joined by plain equality of the same columns, and what one aggregation has shuffled needs no other
+shuffle to be joined. Key columns beside aggregates are read from the groups' own keys, those of the first dataset after the
+join, so that rows which tasks hold to group, sort and join them have the keys once and one column for all nulls.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 from ..functions.group_functions import Aggregate, Extend, Function, Rows
 from ..sources.dataset import ColumnRef, Dataset
 
+_BITS = 31  # keys whose nulls one column tells
 _NUMBERS = ("byte", "short", "integer", "long", "float", "double")
 
 
@@ -80,16 +82,22 @@ def _stand_in(kind: T.DataType) -> Column | None:
 
 
 def _key_names(kinds: list[T.DataType]) -> list[str]:
-    return [n for i, t in enumerate(kinds) for n in ([f"_k{i}"] if _stand_in(t) is None else [f"_k{i}", f"_n{i}"])]
+    flagged = [_stand_in(t) is not None for t in kinds]
+    return [*[f"_k{i}" if f else f"_x{i}" for i, f in enumerate(flagged)], *[f"_n{i}" for i in sorted({i // _BITS for i, f in enumerate(flagged) if f})]]
 
 
-def _key_columns(i: int, key: Column, kind: T.DataType) -> list[Column]:
-    key, value = key.cast(kind), _stand_in(kind)
-    return [key.alias(f"_k{i}")] if value is None else [F.coalesce(key, value).alias(f"_k{i}"), key.isNull().alias(f"_n{i}")]
+def _key_columns(keys: list[Column], kinds: list[T.DataType]) -> list[Column]:
+    out, nulls = {}, {}
+    for i, (key, kind) in enumerate(zip(keys, kinds, strict=True)):
+        key, value = key.cast(kind), _stand_in(kind)
+        out[f"_k{i}" if value is not None else f"_x{i}"] = key if value is None else F.coalesce(key, value)
+        if value is not None:
+            nulls.setdefault(f"_n{i // _BITS}", []).append(F.when(key.isNull(), F.lit(1 << i % _BITS)).otherwise(F.lit(0)))
+    return [c.alias(n) for n, c in [*out.items(), *((n, reduce(lambda a, b: a.bitwiseOR(b), bits)) for n, bits in nulls.items())]]
 
 
 def _key_value(i: int, kind: T.DataType) -> Column:
-    return F.col(f"_k{i}") if _stand_in(kind) is None else F.when(~F.col(f"_n{i}"), F.col(f"_k{i}"))
+    return F.col(f"_x{i}") if _stand_in(kind) is None else F.when(F.col(f"_n{i // _BITS}").bitwiseAND(F.lit(1 << i % _BITS)) == 0, F.col(f"_k{i}"))
 
 
 def _extend_columns(e: Extend, columns: list[Column]) -> list[Column]:
@@ -100,7 +108,7 @@ def _extend_columns(e: Extend, columns: list[Column]) -> list[Column]:
 def _source(part: Part, kinds: list[T.DataType], needed: list[ColumnRef]) -> DataFrame:
     """Keys and the columns that anything needs, under names that no other dataset has."""
     d = part.dataset
-    keys = [c for i, (k, t) in enumerate(zip(part.keys, kinds, strict=True)) for c in _key_columns(i, d.column(k.name), t)]
+    keys = _key_columns([d.column(k.name) for k in part.keys], kinds)
     seen = {_raw(c): d.column(c.name).alias(_raw(c)) for c in needed}
     return d.df.select(*keys, *seen.values())
 
@@ -116,8 +124,7 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     """Join on the keys, null equal to null; the left side's keys stay, or the right side's in a right join."""
     other = [f"{k}_r" for k in keys]
     right = right.withColumnsRenamed(dict(zip(keys, other, strict=True)))
-    safe = {k for k in keys if k.startswith("_k") and f"_n{k[2:]}" not in keys}
-    on = [left[a].eqNullSafe(right[b]) if a in safe else left[a] == right[b] for a, b in zip(keys, other, strict=True)]
+    on = [left[a].eqNullSafe(right[b]) if a.startswith("_x") else left[a] == right[b] for a, b in zip(keys, other, strict=True)]
     return left.join(right, on, how).drop(*other)
 
 
@@ -129,15 +136,20 @@ def _row_columns(part: Part, value) -> list[Column]:
     return rows
 
 
-def _build(part: Part, src: DataFrame, keys: list[str], keep_rows: bool, plain: dict[str, Column]) -> DataFrame:
+def _of_keys(part: Part, plain: dict[str, Column]) -> bool:
+    return all(_raw(c) in plain for c in part.used)
+
+
+def _build(part: Part, src: DataFrame, keys: list[str], keep_rows: bool, plain: dict[str, Column], later: bool) -> DataFrame:
     """The dataset's part: its rows, aggregates and many-row functions, joined on the keys.
 
     Aggregates beside rows are window aggregates over one shuffle of the source where they can be; by themselves they
-    are combined before the shuffle. ``plain`` has the columns that can be read from the keys.
+    are combined before the shuffle. ``plain`` has the columns that can be read from the keys; with ``later``, what is read
+    from the keys alone is left to the caller.
     """
     outs = lambda f: [F.col(_raw(c)) for c in f.inputs]
     detail = any(not part.is_key(c) for c in part.used)
-    of_keys = not keep_rows and all(_raw(c) in plain for c in part.used)
+    of_keys = not keep_rows and _of_keys(part, plain)
     aggregates = [(a, f"_a{i}_{part.dataset.name}") for i, a in enumerate(part.aggregates)]
     out = None
     if part.used and not of_keys:
@@ -159,7 +171,7 @@ def _build(part: Part, src: DataFrame, keys: list[str], keep_rows: bool, plain:
         out = frame if out is None else _join(out, frame, keys)
     if part.used and of_keys:
         out = src.select(*keys).distinct() if out is None else out
-        return out.select("*", *_row_columns(part, lambda c: plain[_raw(c)]))
+        return out if later else out.select("*", *_row_columns(part, lambda c: plain[_raw(c)]))
     return out
 
 
@@ -206,7 +218,7 @@ def compile_query(datasets: list[Dataset], keys: list[list[ColumnRef]], projecti
     taken = [f for f in shared if isinstance(f, Aggregate)]
     # where nothing but keys stands beside functions of the joined rows, their groups are the result
     alone = how == "inner" and taken and combinable and all(not p.aggregates and not p.rows and all(_raw(c) in plain[n] for c in p.used) for n, p in parts.items())
-    built, sources = [], {}
+    built, sources, later = [], {}, False
     for i, d in enumerate(datasets):
         part = parts[d.name]
         needed = [*part.used, *[c for f in [*part.aggregates, *part.rows, *shared] for c in f.inputs if c.dataset.name == d.name]]
@@ -215,7 +227,9 @@ def compile_query(datasets: list[Dataset], keys: list[list[ColumnRef]], projecti
             continue
         # rows of keys alone are one for each group, but for the last dataset of a job that can't be combined map-side
         last = i == len(datasets) - 1 and not part.aggregates and not part.rows and not combinable
-        frame = _build(part, sources[d.name], key_names, last, plain[d.name])
+        if i == 0:  # its keys are those that stay in joins
+            later = bool(part.used) and not last and _of_keys(part, plain[d.name])
+        frame = _build(part, sources[d.name], key_names, last, plain[d.name], i == 0)
         if frame is None:  # its columns are inputs of shared aggregates alone: it decides which groups there are
             frame = sources[d.name].select(*key_names).distinct()
         built.append(frame)
@@ -227,6 +241,8 @@ def compile_query(datasets: list[Dataset], keys: list[list[ColumnRef]], projecti
         whole = _join(built[0], built[1], key_names, "left")
     else:
         whole = reduce(lambda a, b: _join(a, b, key_names), built)
+    if later:
+        whole = whole.select("*", *_row_columns(parts[names[0]], lambda c: plain[names[0]][_raw(c)]))
     if taken:
         # row by row over the joined rows, then one aggregation
         rows = reduce(lambda a, b: _join(a, b, key_names), [sources[n] for n in names])

@@ -38,6 +38,15 @@ def test_a_join_reads_and_shuffles_each_side_once(shape, name, joins):
     assert shape(name) == (joins + 1, joins + 1, joins)
 
 
+@needs_tables
+def test_rows_that_are_joined_have_their_keys_once_and_one_column_for_nulls(spark, shape):
+    assert shape("join_composite_self") == (2, 2, 1)
+    plan = catalog.QUERIES["join_composite_self"](spark, SF)._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    for columns in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan):
+        assert [re.sub(r"#.*", "", c) for c in columns.split(", ")[:-1]] == ["_k0", "_k1", "_n0"]
+    assert "_o_" not in plan.partition("SortMergeJoin")[2]
+
+
 def test_what_is_read_is_not_overwritten(spark, tmp_path, monkeypatch):
     """Also by a relative path, which Hadoop takes from the JVM's own working folder."""
     jvm_dir = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")

@@ -190,3 +190,16 @@ def test_keys_that_are_null_or_not_numbers(spark):
     key = lambda c: c["k"]
     got = group(d).by("g").select(d["g"], Max(d["both"], key=key).rename("most"), Min(d["both"], key=key).rename("least")).df.select("g", "most.v", "least.v").collect()
     assert sorted(map(tuple, got)) == [(0, "c", "y"), (1, None, None)]
+
+
+def test_many_keys_with_nulls_meet(spark):
+    """More keys than one column of null bits has, and one of a type that is compared null-safe."""
+    names = [f"k{i}" for i in range(33)]
+    schema = ", ".join([*[f"{n} int" for n in names], "b binary", "v int"])
+    full = [*range(33), b"x"]
+    without = lambda *at: tuple(None if i in at else v for i, v in enumerate(full))
+    keys = [without(), without(0), without(1), without(31), without(32), without(33), without(0, 31, 33), (0,) * 33 + (b"",), (None,) * 34]
+    a, b = frame(spark, "a", [(*k, i) for i, k in enumerate(keys)], schema), frame(spark, "b", [(*k, 10 * i) for i, k in enumerate(keys)] * 2, schema)
+    names.append("b")
+    got = inner_join(a, b).on(*[equal(a[n], b[n]) for n in names]).select(*[a[n] for n in names], Max(a["v"]).rename("v"), Counts(b["v"]).rename("n"), Max(b["v"]).rename("w"))
+    assert rows(got) == sorted([(*[bytearray(x) if isinstance(x, bytes) else x for x in k], i, 2, 10 * i) for i, k in enumerate(keys)], key=repr)
